@@ -63,3 +63,17 @@ def mix(docs: DataFrame, *, weights: list[int] | None = None, budget: float = 1.
     end = F.floor(offset(F.col("source"), seed) + (F.col("rank") + 1) * each)
     copies = F.least(end - begin, F.lit(cap).cast("long"))
     return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The documents that the mix takes, all columns, each as often as it is taken.
+
+    Copies are found on narrow rows and joined to the documents by doc_id. Rows that repeat a doc_id
+    are told apart by their size, and among equal sizes by turns.
+    """
+    turn = lambda size: F.row_number().over(Window.partitionBy("doc_id").orderBy(size))
+    taken = mix(docs.select("doc_id", "source", "text"), **how)
+    taken = taken.select(F.col("doc_id").alias("_id"), turn(F.col("size")).alias("_turn"), F.col("copies").alias("_copies")).where("_copies > 0")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", turn(word_count(F.col("text"))).alias("_mine"))
+    rows = own.join(taken, same(own["doc_id"], taken["_id"]) & (own["_mine"] == taken["_turn"]))
+    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

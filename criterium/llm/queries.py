@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from criterium.llm._oracles import FINGERPRINTS, LICENSES
 from criterium.llm.common import fresh_path, read
 
 
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.neighbours import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_idpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from criterium.llm.idpack import read_digests, write_ids
 
@@ -15,6 +23,18 @@ def op2_idpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.toxicity import score
+
+    return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.fingerprints import compare
+
+    return compare(read(spark, sf_dir, "documents"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from criterium.llm.mixing import mix
 
@@ -27,9 +47,44 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_idpack, op5_mix, op7_pack)}
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.licenses import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.near_duplicates import groups
+
+    return groups(read(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.quality import score
+
+    return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.html import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_forest, op2_idpack, op3_toxicity, op4_merkle, op5_mix, op6_licenses, op7_pack, op8_near_duplicates, op9_quality, op10_html, pipeline)
+}
 
 ORACLE_SQL = {
+    "op4_merkle": FINGERPRINTS,
+    "op6_licenses": LICENSES,
     "op5_mix": r"""
 WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
              md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
