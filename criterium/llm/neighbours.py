@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, REACH, BLOCK, GROUP = 48, 24, 0.8, 8192, 2048
+TREES, BITS, REACH, BLOCK, GROUP = 48, 24, 1.2, 8192, 2048
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -91,8 +91,8 @@ def search_block(data_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q:
     begin = np.concatenate([[0], np.cumsum(np.bincount(which.ravel(), minlength=len(first)))])
     forest, out = Forest(x[first], longest), []
     for qid, (rows, scores) in zip(query_ids, forest.search(q, k + 1, reach)):
-        best = sorted((-s, int(i)) for r, s in zip(rows, scores) for i in data_ids[by[begin[r] : begin[r] + k + 1]] if i != qid)[:k]
-        out.extend((int(qid), i, -s) for s, i in best)
+        best = sorted((-s, int(i)) for r, s in zip(rows, scores) for i in data_ids[by[begin[r] : min(begin[r + 1], begin[r] + k + 1)]] if i != qid)[:k]
+        out.extend((int(qid), i, float(-s)) for s, i in best)
     return out
 
 
