@@ -44,7 +44,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from criterium.llm.packing import pack
 
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(read(spark, sf_dir, "documents")).withColumn("piece", F.col("piece").cast("int"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
