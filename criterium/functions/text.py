@@ -66,11 +66,29 @@ def english_list(items: Column) -> Column:
     )
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _spans(text: Column, n: int, one) -> Column:
+    """``one`` of each n consecutive lower-cased words, distinct; none if there are fewer words."""
+
+    def spans(tokens: Column) -> Column:
+        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: one(F.slice(tokens, i, n))))
+
+    return bound(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)), spans)
+
+
 def ngrams(text: Column, n: int) -> Column:
-    """The distinct n-grams of the lower-cased words, joined by a space; none if there are fewer words."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    """The distinct n-grams of the lower-cased words, joined by a space."""
+    return _spans(text, n, lambda words: F.array_join(words, " "))
+
+
+def ngram_hashes(text: Column, n: int) -> Column:
+    """Their 64-bit hashes, without building the strings."""
+    return _spans(text, n, F.xxhash64)
 
 
 def criterion_id(prompt: Column, index: Column, kind: Column) -> Column:

@@ -79,7 +79,7 @@ def test_answers(spark):
     assert text.first_json_array("none [") is None
 
 
-@pytest.mark.parametrize(("t", "loops_"), [("x" * 200, (True, 1, 0)), ("varied " + "ab cd ef " * 60, (True, 9, 7)), ("short", (False, None, None)), ("abc" * 10, (False, None, None))])
+@pytest.mark.parametrize(("t", "loops_"), [("x" * 200, (True, 1, 0)), ("varied " + "ab cd ef " * 60, (True, 9, 6)), ("short", (False, None, None)), ("abc" * 10, (False, None, None))])
 def test_loop(t, loops_):
     assert loops.find_loop(t)[0] == loops_[0]
     if loops_[0]:
@@ -90,7 +90,7 @@ def test_statistics(spark):
     df = spark.createDataFrame([(10, 10), (0, 0)], "k int, n int")
     lo, hi = stats.wilson(F.col("k"), F.col("n"))
     a, b = df.select(lo.alias("lo"), hi.alias("hi")).collect()
-    assert abs(a["lo"] - 0.722) < 1e-3 and a["hi"] == 1.0 and (b["lo"], b["hi"]) == (0.0, 1.0)
+    assert abs(a["lo"] - 0.722) < 1e-3 and abs(a["hi"] - 1) < 1e-9 and (b["lo"], b["hi"]) == (0.0, 1.0)
     ranks = lambda rows: stats.kendall_tau(spark.createDataFrame(rows, "i string, a int, b int"), "i", "a", "b").first()["tau"]
     assert ranks([("x", 1, 1), ("y", 2, 2), ("z", 3, 3)]) == 1
     assert ranks([("x", 1, 3), ("y", 2, 2), ("z", 3, 1)]) == -1
