@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from criterium.llm.common import claim
+
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
 
@@ -62,6 +64,7 @@ def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.n
     """Every document, whole text -> doc_id, held_out, score, predicted. ``scorer()`` is built once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("scores", lambda: None)
         score = scorer()
         for batch in batches:
             n = batch.num_rows
@@ -79,6 +82,7 @@ def keep_scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.n
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("scores", lambda: None)
         score = scorer()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

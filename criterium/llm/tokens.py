@@ -15,6 +15,8 @@ import sys
 from array import array
 from functools import lru_cache
 
+from criterium.llm.common import claim
+
 CHUNK = re.compile(r"\s*[^\W_]+|\s*\S+|\s+")
 #: Characters whose class Python and the tokenizer may see differently: texts that hold them are encoded whole.
 ODD = re.compile("[\x1c-\x1f\U00010000-\U0010ffff]")
@@ -71,8 +73,13 @@ class ChunkEncoder:
         return ids
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str | None = None) -> ChunkEncoder:
-    """One encoder for each Python worker and vocabulary file."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path or default_path())
+    return ChunkEncoder(path)
+
+
+def encoder(path: str | None = None) -> ChunkEncoder:
+    """One encoder for each Python worker, kept from task to task."""
+    claim("tokens", _encoder.cache_clear)
+    return _encoder(path or default_path())
