@@ -17,8 +17,8 @@ texts are brought together once, and within it the exact weighted Jaccard simila
 text reached, all texts not yet reached whose signature allows it are compared, so no two texts of a
 block end in different classes untested, while pairs within a class need no test and no pair is emitted
 but the links of a forest. Buckets and families are dealt into blocks of about ``BLOCK`` texts, so that
-none is gathered whole; a family of several blocks is dealt anew, its best-linked texts joining every
-block, until a deal links nothing more.
+none is gathered whole; what the blocks of a family leave apart is compared across them, every pair of
+blocks once but those inside its largest class.
 
 Defined cases: a null text is an empty one; texts without any word are near-duplicates of equal texts
 only; equal texts are one class from the start; rows that repeat a doc_id and text belong together,
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from criterium.llm.common import claim, fresh_path, remove, same, settled
@@ -44,7 +44,7 @@ from criterium.llm.components import components
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 5
 FREQUENT, CHUNK = 0.01, 2000
-BLOCK, HUBS, LIKELY = 500, 32, 0.66
+BLOCK, LIKELY = 500, 0.66
 WORD = re.compile(r"\w+")
 KEPT, SEEN = 400_000, 200_000
 
@@ -255,9 +255,11 @@ class Groups:
         return i
 
 
-def reachable(marks: np.ndarray, weight: np.ndarray, joined, linked) -> None:
+def reachable(marks: np.ndarray, weight: np.ndarray, joined, linked, side: np.ndarray | None = None) -> None:
     """Visit all members; from each, look at the members not reached yet whose signature and weight allow similarity.
 
+    With ``side``, only members of different sides are compared.
+
     ``linked(i, js)`` tells which of the members ``js`` belong with ``i``; they are reached next, and
     ``joined(i, j)`` is told. A member is compared with unreached members alone, so that a tight group
     takes few comparisons, yet no two members end in different groups without having been compared.
@@ -269,7 +271,8 @@ def reachable(marks: np.ndarray, weight: np.ndarray, joined, linked) -> None:
             i = queue.pop()
             agree = (marks[left] == marks[i]).mean(axis=1)
             ratio = np.minimum(weight[left], weight[i]) >= (SIMILAR - 1e-9) * np.maximum(weight[left], weight[i])
-            near = np.flatnonzero((agree >= LIKELY) & ratio)
+            allowed = (agree >= LIKELY) & ratio
+            near = np.flatnonzero(allowed if side is None else allowed & (side[left] != side[i]))
             hits = near[linked(i, left[near])] if len(near) else near
             for j in left[hits]:
                 joined(i, int(j))
@@ -327,22 +330,50 @@ def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def split_groups(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, component, ..) of groups over ``BLOCK`` -> group, major, blocks, others: the groups that hold several components.
+
+    ``major`` is the largest component, dealt into ``blocks``, and ``others`` are the blocks of all other
+    members. Two blocks together are as many rows as ``BLOCK``.
+    """
+    sizes = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy(group).agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    half = lambda c: F.ceil(2 * c / BLOCK).cast("int")
+    return sizes.select(group, F.col("top.component").alias("major"), half(F.col("top.c")).alias("blocks"), half(F.col("all") - F.col("top.c")).alias("others"))
+
+
+def block_pairs(rows: DataFrame, split: DataFrame, group: str) -> DataFrame:
+    """Every row once for each pair (i, j) of blocks of its group that it is part of, with ``side``: 1 for block j, 0 for block i.
+
+    All pairs of blocks are formed but those inside the largest component, whose members need no link
+    among each other: what is left outside of it decides how often a row is repeated.
+    """
+    # groups of more than BLOCK rows alone, so there are few beside the rows
+    rows, least = rows.join(F.broadcast(split), group), F.col("component") == F.col("major")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rows = rows.withColumn("_b", F.when(least, F.col("others") + deal("blocks")).otherwise(deal("others")))
+    to = F.when(least, F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1
+    rows = rows.withColumn("_to", F.explode(F.sequence(F.lit(0), to)))
+    rows = rows.withColumn("i", F.least("_b", "_to")).withColumn("j", F.greatest("_b", "_to"))
+    return rows.withColumn("side", (F.col("_b") != F.col("i")).cast("int")).drop("_b", "_to", "major", "blocks", "others")
+
+
 def similar_links(rows: DataFrame, weights: Weights) -> DataFrame:
-    """rows (family, block, node, component, marks, weight, text) -> links (a, b) between texts of a block whose similarity is verified.
+    """rows (family, i, j, side, node, component, marks, weight, text) -> links (a, b) between texts of block i and block j whose similarity is verified.
 
-    Members that share a component already need no link. A block's links are a forest.
+    Members that share a component already need no link. The links of two blocks are a forest.
     """
-    rows = rows.select("family", "block", "component", "node", "marks", "weight", "text").repartition("family", "block").sortWithinPartitions("family", "block", "component", "node")
+    rows = rows.select("family", "i", "j", "component", "node", "marks", "weight", "side", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "component", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_words()
         found: set[tuple[int, int]] = set()
-        for held in runs(batches, 2):
+        for held in runs(batches, 3):
             grams: dict[int, tuple] = {}
 
             def gram(i: int) -> tuple:
                 if i not in grams:
-                    grams[i] = shingles(held[i][4])
+                    grams[i] = shingles(held[i][5])
                 return grams[i]
 
             group, by = Groups(len(held)), {}
@@ -362,7 +393,8 @@ def similar_links(rows: DataFrame, weights: Weights) -> DataFrame:
                 return hits
 
             marks = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
-            reachable(marks, np.array([h[3] for h in held]), lambda i, j: None, linked)
+            side = np.array([h[4] for h in held])
+            reachable(marks, np.array([h[3] for h in held]), lambda i, j: None, linked, side if side.any() else None)
             if len(found) > 50_000:
                 yield _pairs(found)
                 found.clear()
@@ -392,30 +424,21 @@ def groups(docs: DataFrame) -> DataFrame:
     first = texts.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id")).join(family, "node", "left_semi")
     ids = first.select(F.col("node").alias("_node"), "id")
     there = texts.join(ids.hint("shuffle_hash"), (F.col("node") == F.col("_node")) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("id")), "left_semi")
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    there.select("node", "text").dropDuplicates(["node"]).join(near, "node").join(family.join(sizes, "family"), "node").write.parquet(kept[1])
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)  # few beside the texts
+    placed = family.join(F.broadcast(sizes), "family", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    there.select("node", "text").dropDuplicates(["node"]).join(near, "node").join(placed, "node").write.parquet(kept[1])
     members = spark.read.parquet(kept[1])
 
-    block = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("n") / BLOCK)).cast("int")
-    links = settled(similar_links(members.withColumn("block", block(0)).withColumn("component", F.col("node")), weights))
-    found, salt = components(links), 0
-    while True:  # families of several blocks, until a new deal links nothing more
-        salt += 1
-        large = members.where(F.col("n") > BLOCK).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = large.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
-        if split.isEmpty():
-            break
-        large = large.join(split, "family", "left_semi")
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        ranked = large.select("family", "node").join(ends, "node")
-        hubs = ranked.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("degree"), "node"))).where(F.col("place") <= HUBS).select("node")
-        hub_rows = large.join(hubs, "node", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
-        rest = large.join(hubs, "node", "left_anti").withColumn("block", block(salt))
-        more = settled(similar_links(rest.unionByName(hub_rows), weights))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = components(links)
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    links = settled(similar_links(members.select("*", own.alias("i"), own.alias("j"), F.lit(0).alias("side"), F.col("node").alias("component")), weights))
+    found = components(links)
+    # families of several blocks: what the blocks left apart is compared across them, every pair of blocks once
+    large = members.where(F.col("n") > BLOCK).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = settled(split_groups(large, "family"))
+    if not split.isEmpty():
+        more = settled(similar_links(block_pairs(large, split, "family"), weights))
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     placed = texts.select("doc_id", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     placed = settled(placed.select("doc_id", F.coalesce("component", "node").alias("component")))

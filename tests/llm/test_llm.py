@@ -324,6 +324,21 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert [got[k] for k in range(len(texts))] == [(c, sizes[c]) for c in want]
 
 
+def test_near_duplicates_of_large_families_equal_brute_force(spark, monkeypatch):
+    """A family held together by a template, with small groups of its own, in blocks of few texts."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    rng = random.Random(5)
+    template, texts = words(rng, 100), []
+    for _ in range(40):
+        own = words(rng, 10)
+        texts += [f"{template} {own}", f"{template} {own} {words(rng, 1)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_duplicates.groups(docs).collect()}
+    want = brute_classes(texts)
+    sizes = Counter(want)
+    assert max(sizes.values()) < 10 and [got[k] for k in range(len(texts))] == [(c, sizes[c]) for c in want]
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     rows = near_duplicates.groups(odd).collect()
     assert len(rows) == len(ODD)
