@@ -298,31 +298,47 @@ def families(buckets: DataFrame) -> DataFrame:
     """buckets (band, n, node, marks, weight) -> node, component: texts joined by likely links.
 
     A bucket is dealt into blocks of about ``BLOCK`` texts; a block gives a star for each of its groups,
-    so the links never outnumber the rows.
+    so the links never outnumber the rows. What the blocks of a larger bucket leave apart is compared
+    across them, every pair of blocks once but those inside the bucket's largest component.
     """
-    blocks = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    rows = buckets.select("band", blocks.alias("block"), "node", "marks", "weight").repartition("band", "block").sortWithinPartitions("band", "block", "node")
+    block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    found = components(likely_links(buckets.select("*", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), F.col("node").alias("component"))))
+    hot = buckets.where(F.col("n") > BLOCK).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = settled(split_groups(hot, "band"))
+    if split.isEmpty():
+        return found
+    more = settled(likely_links(block_pairs(hot, split, "band")))
+    return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def likely_links(rows: DataFrame) -> DataFrame:
+    """rows (band, i, j, side, node, component, marks, weight) -> links (a, b) between texts of block i and block j whose signatures allow similarity."""
+    rows = rows.select("band", "i", "j", "component", "node", "marks", "weight", "side").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "component", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
-        for held in runs(batches, 2):
+        for held in runs(batches, 3):
             if len(held) > 1:
-                nodes, group = [h[0] for h in held], Groups(len(held))
+                nodes, group, by = [h[1] for h in held], Groups(len(held)), {}
+                for i, h in enumerate(held):
+                    group.root[i] = by.setdefault(h[0], i)
+                before = list(group.root)
 
                 def joined(i: int, j: int) -> None:
                     a, b = group.find(i), group.find(j)
                     group.root[max(a, b)] = min(a, b)
 
-                marks = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(len(held), -1)
-                reachable(marks, np.array([h[2] for h in held]), joined, lambda i, js: np.ones(len(js), bool))
-                found.update((nodes[group.find(i)], n) for i, n in enumerate(nodes) if group.find(i) != i)
+                marks = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
+                side = np.array([h[4] for h in held])
+                reachable(marks, np.array([h[3] for h in held]), joined, lambda i, js: np.ones(len(js), bool), side if side.any() else None)
+                found.update((nodes[group.find(i)], nodes[i]) for i in set(before) if group.find(i) != i)
             if len(found) > 50_000:
                 yield _pairs(found)
                 found.clear()
         if found:
             yield _pairs(found)
 
-    return components(rows.mapInArrow(link, "a long, b long"))
+    return rows.mapInArrow(link, "a long, b long")
 
 
 def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:

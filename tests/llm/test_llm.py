@@ -339,6 +339,16 @@ def test_near_duplicates_of_large_families_equal_brute_force(spark, monkeypatch)
     assert max(sizes.values()) < 10 and [got[k] for k in range(len(texts))] == [(c, sizes[c]) for c in want]
 
 
+def test_families_join_all_likely_pairs_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    rng = np.random.default_rng(7)
+    signs = rng.integers(0, 256, (60, 80), dtype=np.uint8)
+    signs[1::2, :60] = signs[::2, :60]  # thirty likely pairs, and nothing else
+    rows = [(1, 60, k, bytearray(m.tobytes()), 100.0) for k, m in enumerate(signs)] + [(2, 2, k, bytearray(m.tobytes()), 100.0) for k, m in enumerate(signs[:2])]
+    buckets = spark.createDataFrame(rows, "band long, n long, node long, marks binary, weight double")
+    assert sorted((r["node"], r["component"]) for r in near_duplicates.families(buckets).collect()) == [(k, k - k % 2) for k in range(60)]
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     rows = near_duplicates.groups(odd).collect()
     assert len(rows) == len(ODD)
