@@ -55,7 +55,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Added tokens are found before any split, and a chunk's border could cut one: texts that hold one are encoded whole, too.
+        self.odd = re.compile("|".join([ODD.pattern, *added]))
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kept, self.chunks = kept, _Chunks(self.tokenizer, {})
 
@@ -64,7 +66,7 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if ODD.search(text):
+        if self.odd.search(text):
             return self.whole(text)
         ids = b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
         if len(self.chunks) > self.kept:

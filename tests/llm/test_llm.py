@@ -50,6 +50,14 @@ def test_chunks_encode_like_whole_texts(text):
     assert coder.encode(text) == coder.whole(text) == coder.encode(text)
 
 
+def test_added_tokens_encode_like_the_library():
+    from tokenizers import Tokenizer
+
+    text, plain = "a <|endoftext|> b", Tokenizer.from_file(tokens.default_path())
+    want = plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in want and list(np.frombuffer(tokens.ChunkEncoder(tokens.default_path()).encode(text), "<u4")) == want
+
+
 def test_documents_encode_like_whole_texts(documents):
     coder = tokens.encoder()
     for r in documents.limit(60).collect():
