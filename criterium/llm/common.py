@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,9 +23,11 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of this machine if all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="criterium-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -48,6 +51,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 1 << 17
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled or written table of narrow rows, to be broadcast if it has at most ``BROADCAST_ROWS`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,24 +1,26 @@
 """Near-duplicate groups: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-A text is the multiset of its five-word shingles (lower-cased words; a shorter text is one shingle);
-a shingle weighs its count times an inverse document frequency over distinct texts,
+A text is the multiset of its five-word shingles (a shorter text is one shingle); a shingle weighs its
+count times its inverse document frequency over all documents,
 
-    idf(df) = 1/2 + 1/2 min(1, ln(N / df) / ln(1 / FREQUENT)),
+    idf(df) = ln(documents / df) / ln(1 / FREQUENT), at most 1 and at least FLOOR,
 
-so it only falls for shingles on more than ``FREQUENT`` of all distinct texts, and never below 1/2:
-what thousands of copies share still counts. Those frequent shingles are found exactly: a shingle
-on that share of all texts has that share in some chunk of texts, so each chunk names its own frequent
-shingles and a second pass counts just these.
+see :mod:`criterium.llm.shingles`. The bounds keep groups of copies together: without the upper one, a
+word edited in one of c copies weighs more the fewer copies there are, and without the lower one, what
+thousands of copies share counts for next to nothing, so that near copies of similarity 0.9 by counts
+fall under the threshold.
 
 ``BANDS`` x ``ROWS`` consistent weighted samples make a signature; texts that agree on a band share a
 bucket. Within buckets signatures link texts that may be similar (an estimate of at least ``LIKELY``,
 three standard errors under the threshold), and the components of those links are families. A family's
-texts are brought together once, and within it the exact weighted Jaccard similarity decides: from each
-text reached, all texts not yet reached whose signature allows it are compared, so no two texts of a
-block end in different classes untested, while pairs within a class need no test and no pair is emitted
-but the links of a forest. Buckets and families are dealt into blocks of about ``BLOCK`` texts, so that
-none is gathered whole; what the blocks of a family leave apart is compared across them, every pair of
-blocks once but those inside its largest class.
+texts are brought together once, and the exact weighted Jaccard similarity of all its pairs decides.
+
+Buckets and families are dealt into blocks of bounded size, so that none is gathered whole. Each block
+is compared within, then the heads of what hangs together are compared with each other (a tight group
+of any size soon is one component), and then every pair of blocks is compared, but those inside the
+family's largest component, whose texts need no link among each other. So no two texts of a family end
+in different classes untested, and the work beyond a linear one is (texts outside of the largest
+component) x texts / block.
 
 Defined cases: a null text is an empty one; texts without any word are near-duplicates of equal texts
 only; equal texts are one class from the start; rows that repeat a doc_id and text belong together,
@@ -28,77 +30,24 @@ rows; other columns are left aside.
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from criterium.llm.common import claim, fresh_path, remove, same, settled
+from criterium.llm.common import claim, fresh_path, remove, same, settled, small, unused
 from criterium.llm.components import components
+from criterium.llm.shingles import Weights, frequent_shingles, shingles
 
-WORDS, SIMILAR = 5, 0.8
+SIMILAR = 0.8
 BANDS, ROWS = 16, 5
-FREQUENT, CHUNK = 0.01, 2000
-BLOCK, LIKELY = 500, 0.66
-WORD = re.compile(r"\w+")
-KEPT, SEEN = 400_000, 200_000
-
-
-class _Hashes(dict):
-    """64-bit hashes of the words seen lately, as bytes."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > KEPT:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_digest(word)
-        return found
-
-
-_hashes = _Hashes()
-
-
-def own_words() -> None:
-    """Called where a task begins: other operators' caches in this worker go. A module's function, so that tasks refer to it by name."""
-    claim("words", _hashes.clear)
-
-
-def word_hashes(text: str) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_hashes.__getitem__, WORD.findall(text.lower()))), np.uint64)
-
-
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct shingle hashes ascending, counts)."""
-    h = word_hashes(text)
-    if not len(h):
-        return h, np.empty(0, np.int64)
-    n = min(WORDS, len(h))
-    mixed = np.full(len(h) - n + 1, np.uint64(n))
-    for k in range(n):
-        mixed = (mixed ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed, return_counts=True)
-
-
-class Weights:
-    """idf of frequent shingles; all others weigh 1."""
-
-    def __init__(self, frequent: dict[int, int], n: int):
-        self.hashes = np.array(sorted(frequent), np.uint64)
-        df = np.array([frequent[int(h)] for h in self.hashes], float)
-        self.idf = 0.5 + 0.5 * np.clip(np.log(max(n, 1) / np.maximum(df, 1)) / math.log(1 / FREQUENT), 0, 1) if len(df) else df
-
-    def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = counts.astype(float)
-        if len(self.hashes) and len(hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = self.hashes[at] == hashes
-            w[hit] *= self.idf[at[hit]]
-        return w
+LIKELY = 0.66
+#: Texts and shingles of a block.
+BLOCK, GRAMS = 1000, 2_000_000
+#: Columns of a slice of the shingle matrix of a block; texts whose signatures a task remembers.
+COLUMNS, SEEN = 4096, 200_000
 
 
 class Sampler:
@@ -125,7 +74,7 @@ class Sampler:
         out = np.empty((len(starts), len(self.odd)), np.uint32)
         for k, odd in enumerate(self.odd):
             at = (hashes * odd) >> np.uint64(48)
-            key = self.one[at] | low
+            key = self.one.take(at) | low
             if len(odd_ones):
                 i = at[odd_ones]
                 t = np.floor(logs / self.r[i] + self.beta[i])
@@ -143,110 +92,50 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similarity(a: tuple, b: tuple, weights: Weights) -> float:
-    """Weighted Jaccard of two texts' shingles."""
-    (ha, ca), (hb, cb) = a, b
-    if not len(ha) or not len(hb):
-        return 0.0
-    wa, wb = weights(ha, ca), weights(hb, cb)
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    low = np.minimum(wa[ia], wb[ib]).sum()
-    return float(low / (wa.sum() + wb.sum() - low))
-
-
-def frequent_shingles(texts: DataFrame) -> tuple[dict[int, int], int]:
-    """Document frequencies, over distinct texts, of the shingles on more than ``FREQUENT`` of them; and the texts' number."""
-    n = texts.select("node").distinct().count()
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words()
-        held: list[np.ndarray] = []
-        ready: list[np.ndarray] = []
-        seen: set[int] = set()
-
-        def own(chunk: list[np.ndarray]) -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(chunk), return_counts=True)
-            return pa.record_batch([h[c >= max(1, math.ceil(FREQUENT * len(chunk)))].view(np.int64)], names=["shingle"])
+def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
+    """node, text -> node, bands, marks (a byte of each sample), weight, grams; texts without a word are left out."""
 
-        for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if node not in seen:
-                    seen.add(node)
-                    held.append(shingles(text.as_py())[0])
-                    if len(held) == CHUNK:
-                        if ready:
-                            yield own(ready)
-                        ready, held = held, []
-            if len(seen) > SEEN:
-                seen.clear()
-        if ready or held:  # the last chunk takes what is left, so that it is not a small one
-            yield own(ready + held)
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near", lambda: None)
+        sampler, seen = Sampler(), set()
+        nodes, hashes, ws, size = [], [], [], 0
 
-    named = texts.select("node", "text").mapInArrow(name, "shingle long").distinct()
-    named = np.sort(np.array([r["shingle"] for r in named.toLocalIterator()], np.int64).view(np.uint64))
-    if not len(named):
-        return {}, n
+        def signed() -> pa.RecordBatch:
+            sizes = [len(h) for h in hashes]
+            samples = sampler(np.concatenate(hashes), np.concatenate(ws), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            marks = (samples & np.uint32(255)).astype(np.uint8)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(nodes) + 1, BANDS), pa.int32()), pa.array(band_keys(samples).ravel()))
+            columns = [pa.array(nodes, pa.int64()), bands, pa.array([m.tobytes() for m in marks], pa.binary()), pa.array([float(w.sum()) for w in ws]), pa.array(sizes, pa.int64())]
+            return pa.record_batch(columns, names=["node", "bands", "marks", "weight", "grams"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words()
-        seen: set[int] = set()
         for batch in batches:
-            nodes, found = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if node not in seen:
                     seen.add(node)
-                    h = shingles(text.as_py())[0]
+                    h, c = shingles(text.as_py())
                     if len(h):
-                        h = h[named[np.minimum(np.searchsorted(named, h), len(named) - 1)] == h]
-                        found.append(h.view(np.int64))
-                        nodes.append(np.full(len(h), node, np.int64))
-            if len(seen) > SEEN:
-                seen.clear()
-            if found:
-                yield pa.record_batch([np.concatenate(found), np.concatenate(nodes)], names=["shingle", "node"])
-
-    counts = texts.select("node", "text").mapInArrow(count, "shingle long, node long").distinct().groupBy("shingle").count().where(F.col("count") > FREQUENT * n)
-    return {r["shingle"] % 2**64: r["count"] for r in counts.toLocalIterator()}, n
-
-
-def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
-    """node, text -> node, bands, marks (a byte of each sample), weight; texts without a word are left out."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words()
-        sampler, seen = Sampler(), set()
-        for batch in batches:
-            rows = [(n, t) for n, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-            for k in range(0, len(rows), 64):
-                nodes, hashes, ws = [], [], []
-                for node, text in rows[k : k + 64]:
-                    if node not in seen:
-                        seen.add(node)
-                        h, c = shingles(text.as_py())
-                        if len(h):
-                            nodes.append(node)
-                            hashes.append(h)
-                            ws.append(weights(h, c))
-                if not nodes:
-                    continue
-                starts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])[:-1]])
-                samples = sampler(np.concatenate(hashes), np.concatenate(ws), starts)
-                marks = (samples & np.uint32(255)).astype(np.uint8)
-                yield pa.record_batch(
-                    [pa.array(nodes, pa.int64()), pa.array(list(band_keys(samples)), pa.list_(pa.int64())), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array([float(w.sum()) for w in ws])],
-                    names=["node", "bands", "marks", "weight"],
-                )
+                        nodes.append(node)
+                        hashes.append(h)
+                        ws.append(weights(h, c))
+                        size += len(h)
+                        if size > 20_000:
+                            yield signed()
+                            nodes, hashes, ws, size = [], [], [], 0
             if len(seen) > SEEN:
                 seen.clear()
+        if nodes:
+            yield signed()
 
-    return texts.select("node", "text").mapInArrow(sign, "node long, bands array<long>, marks binary, weight double").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(sign, "node long, bands array<long>, marks binary, weight double, grams long").dropDuplicates(["node"])
 
 
 class Groups:
     """Union of members by number; the smallest number stands for a group."""
 
-    def __init__(self, n: int):
-        self.root = list(range(n))
+    def __init__(self, labels: list):
+        """Members with the same label belong together from the start."""
+        by: dict = {}
+        self.root = [by.setdefault(x, i) for i, x in enumerate(labels)]
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -254,30 +143,53 @@ class Groups:
             i = self.root[i]
         return i
 
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
 
-def reachable(marks: np.ndarray, weight: np.ndarray, joined, linked, side: np.ndarray | None = None) -> None:
-    """Visit all members; from each, look at the members not reached yet whose signature and weight allow similarity.
 
-    With ``side``, only members of different sides are compared.
+def pairwise(grams: list[tuple[np.ndarray, np.ndarray]], weights: Weights, side: np.ndarray | None = None) -> np.ndarray:
+    """Weighted Jaccard similarity of all pairs of texts, given as (shingle hashes, counts); with ``side``, of those of side 0 (rows) with those of side 1.
 
-    ``linked(i, js)`` tells which of the members ``js`` belong with ``i``; they are reached next, and
-    ``joined(i, j)`` is told. A member is compared with unreached members alone, so that a tight group
-    takes few comparisons, yet no two members end in different groups without having been compared.
+    The sum of smaller counts is a product of 0/1 matrices: a column says which texts hold a shingle at
+    least so often, and weighs the step from the next smaller count. Columns of one text alone are left
+    out, the others are multiplied in slices.
     """
-    left = np.arange(len(marks))
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            agree = (marks[left] == marks[i]).mean(axis=1)
-            ratio = np.minimum(weight[left], weight[i]) >= (SIMILAR - 1e-9) * np.maximum(weight[left], weight[i])
-            allowed = (agree >= LIKELY) & ratio
-            near = np.flatnonzero(allowed if side is None else allowed & (side[left] != side[i]))
-            hits = near[linked(i, left[near])] if len(near) else near
-            for j in left[hits]:
-                joined(i, int(j))
-                queue.append(int(j))
-            left = np.delete(left, hits)
+    m = len(grams)
+    text = np.repeat(np.arange(m), [len(h) for h, _ in grams])
+    keys, counts = np.concatenate([h for h, _ in grams]), np.concatenate([c for _, c in grams]).astype(np.int64)
+    total = np.bincount(text, weights(keys, counts), m)
+    order = np.lexsort((counts, keys))
+    keys, counts, text = keys[order], counts[order], text[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    shared = ~new
+    shared[:-1] |= ~new[1:]
+    keys, counts, text, new = keys[shared], counts[shared], text[shared], new[shared]
+    rows, columns = (np.arange(m), np.arange(m)) if side is None else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    low = np.zeros((len(rows), len(columns)))
+    if len(keys):
+        step = new.copy()
+        step[1:] |= counts[1:] != counts[:-1]
+        level = np.cumsum(step) - 1  # the column of a text's own count; columns of a shingle follow each other
+        first = level[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+        at = np.flatnonzero(step)
+        below = np.where(new[at], 0, np.concatenate([[0], counts[at][:-1]]))
+        gain = (counts[at] - below) * weights.idf(keys[at])
+        n = level - first + 1
+        bounds = np.searchsorted(first, np.arange(0, len(at) + COLUMNS, COLUMNS))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if lo == hi:
+                continue
+            reach, base = n[lo:hi], first[lo]
+            width = int(level[lo:hi].max()) - base + 1
+            held = np.zeros((m, width))
+            column = np.repeat(first[lo:hi] - base - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+            held[np.repeat(text[lo:hi], reach), column] = 1
+            right = held if side is None else held[columns]
+            low += (held[rows] * gain[base : base + width]) @ right.T
+    return low / np.maximum(total[rows][:, None] + total[columns][None, :] - low, 1e-300)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -294,44 +206,30 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def families(buckets: DataFrame) -> DataFrame:
-    """buckets (band, n, node, marks, weight) -> node, component: texts joined by likely links.
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs)
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    A bucket is dealt into blocks of about ``BLOCK`` texts; a block gives a star for each of its groups,
-    so the links never outnumber the rows. What the blocks of a larger bucket leave apart is compared
-    across them, every pair of blocks once but those inside the bucket's largest component.
-    """
-    block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    found = components(likely_links(buckets.select("*", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), F.col("node").alias("component"))))
-    hot = buckets.where(F.col("n") > BLOCK).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = settled(split_groups(hot, "band"))
-    if split.isEmpty():
-        return found
-    more = settled(likely_links(block_pairs(hot, split, "band")))
-    return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
+def links_of_blocks(rows: DataFrame, payload: str, near) -> DataFrame:
+    """rows (key, i, j, side, node, component, weight, payload) -> links (a, b) between texts of block i and block j.
 
-def likely_links(rows: DataFrame) -> DataFrame:
-    """rows (band, i, j, side, node, component, marks, weight) -> links (a, b) between texts of block i and block j whose signatures allow similarity."""
-    rows = rows.select("band", "i", "j", "component", "node", "marks", "weight", "side").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "component", "node")
+    ``near(payloads, weights, side)`` gives the pairs of members that belong together; members that share
+    a component already need no link, and the links of two blocks are a forest.
+    """
+    rows = rows.select("key", "i", "j", "component", "node", "weight", "side", payload).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "component", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
+        claim("near", lambda: None)
+        found: list[tuple[int, int]] = []
         for held in runs(batches, 3):
-            if len(held) > 1:
-                nodes, group, by = [h[1] for h in held], Groups(len(held)), {}
-                for i, h in enumerate(held):
-                    group.root[i] = by.setdefault(h[0], i)
-                before = list(group.root)
-
-                def joined(i: int, j: int) -> None:
-                    a, b = group.find(i), group.find(j)
-                    group.root[max(a, b)] = min(a, b)
-
-                marks = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
-                side = np.array([h[4] for h in held])
-                reachable(marks, np.array([h[3] for h in held]), joined, lambda i, js: np.ones(len(js), bool), side if side.any() else None)
-                found.update((nodes[group.find(i)], nodes[i]) for i in set(before) if group.find(i) != i)
+            labels, nodes, weight, side, loads = zip(*held)
+            group = Groups(labels)
+            if any(group.root):
+                side = np.array(side)
+                for i, j in near(loads, np.array(weight), side if side.any() else None):
+                    if group.join(i, j):
+                        found.append((nodes[i], nodes[j]))
             if len(found) > 50_000:
                 yield _pairs(found)
                 found.clear()
@@ -341,136 +239,176 @@ def likely_links(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(link, "a long, b long")
 
 
-def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs)
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def likely_links(rows: DataFrame) -> DataFrame:
+    """Links between texts whose signatures (payload ``marks``) and weights allow similarity."""
+
+    def near(loads: tuple, weight: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
+        marks = np.frombuffer(b"".join(loads), np.uint8).reshape(len(loads), -1)
+        left = np.arange(len(marks))
+        while len(left):  # from each text reached, the texts not yet reached; no two end apart unlooked at
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                i = queue.pop()
+                hit = (np.minimum(weight[left], weight[i]) >= (SIMILAR - 1e-9) * np.maximum(weight[left], weight[i])) & ((marks[left] == marks[i]).mean(axis=1) >= LIKELY)
+                if side is not None:
+                    hit &= side[left] != side[i]
+                for j in left[hit].tolist():
+                    yield i, j
+                    queue.append(j)
+                left = left[~hit]
+
+    return links_of_blocks(rows, "marks", near)
+
+
+def similar_links(rows: DataFrame, weights: Weights) -> DataFrame:
+    """Links between texts (payload ``text``) whose similarity is verified."""
+
+    def near(loads: tuple, weight: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[int, int]]:
+        hits = pairwise([shingles(t) for t in loads], weights, side) >= SIMILAR - 1e-9
+        if side is None:
+            yield from np.argwhere(np.triu(hits, 1)).tolist()
+        else:
+            rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for i, j in np.argwhere(hits):
+                yield int(rows[i]), int(columns[j])
+
+    return links_of_blocks(rows, "text", near)
+
+
+def within(rows: DataFrame, block: Column) -> DataFrame:
+    """Rows to be compared inside their blocks alone."""
+    return rows.withColumn("i", block.cast("int")).withColumn("j", F.col("i")).withColumn("side", F.lit(0))
+
+
+def marked(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the component that each node has by now."""
+    return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def split_groups(rows: DataFrame, group: str) -> DataFrame:
-    """rows (group, component, ..) of groups over ``BLOCK`` -> group, major, blocks, others: the groups that hold several components.
+def split_groups(rows: DataFrame) -> DataFrame:
+    """rows (key, component, grams) -> key, components, major, blocks, others: the groups that hold several components.
 
     ``major`` is the largest component, dealt into ``blocks``, and ``others`` are the blocks of all other
-    members. Two blocks together are as many rows as ``BLOCK``.
+    members. Two blocks together are as large as one block that is compared within.
     """
-    sizes = rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy(group).agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    half = lambda c: F.ceil(2 * c / BLOCK).cast("int")
-    return sizes.select(group, F.col("top.component").alias("major"), half(F.col("top.c")).alias("blocks"), half(F.col("all") - F.col("top.c")).alias("others"))
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("grams").alias("g"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("c", "g", "component")).alias("top"), F.sum("c").alias("c"), F.sum("g").alias("g"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    half = lambda c, g: F.ceil(F.greatest(2 * c / BLOCK, 2 * g / GRAMS, F.lit(1))).cast("int")
+    return sizes.select("key", "components", F.col("top.component").alias("major"), half(F.col("top.c"), F.col("top.g")).alias("blocks"), half(F.col("c") - F.col("top.c"), F.col("g") - F.col("top.g")).alias("others"))
 
 
-def block_pairs(rows: DataFrame, split: DataFrame, group: str) -> DataFrame:
+def block_pairs(rows: DataFrame, split: DataFrame) -> DataFrame:
     """Every row once for each pair (i, j) of blocks of its group that it is part of, with ``side``: 1 for block j, 0 for block i.
 
     All pairs of blocks are formed but those inside the largest component, whose members need no link
     among each other: what is left outside of it decides how often a row is repeated.
     """
-    # groups of more than BLOCK rows alone, so there are few beside the rows
-    rows, least = rows.join(F.broadcast(split), group), F.col("component") == F.col("major")
+    rows, major = rows.join(split, "key"), F.col("component") == F.col("major")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    rows = rows.withColumn("_b", F.when(least, F.col("others") + deal("blocks")).otherwise(deal("others")))
-    to = F.when(least, F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1
-    rows = rows.withColumn("_to", F.explode(F.sequence(F.lit(0), to)))
-    rows = rows.withColumn("i", F.least("_b", "_to")).withColumn("j", F.greatest("_b", "_to"))
-    return rows.withColumn("side", (F.col("_b") != F.col("i")).cast("int")).drop("_b", "_to", "major", "blocks", "others")
+    rows = rows.withColumn("b", F.when(major, F.col("others") + deal("blocks")).otherwise(deal("others")))
+    to = F.when(major, F.col("others")).otherwise(F.col("others") + F.col("blocks")) - 1
+    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), to)))
+    rows = rows.withColumn("i", F.least("b", "to")).withColumn("j", F.greatest("b", "to"))
+    return rows.withColumn("side", (F.col("b") != F.col("i")).cast("int"))
+
+
+def resolved(members: DataFrame, large: Column, blocks: Column, link) -> DataFrame:
+    """members (key, node, grams, ..) -> node, component: what ``link(rows)`` joins within groups, whatever blocks their members are dealt into."""
+    block = F.pmod(F.xxhash64("node", "key"), blocks)
+    found = settled(components(link(within(members.withColumn("component", F.col("node")), block))))
+    hot = settled(members.where(large).drop("n", "g"))
+    if hot.isEmpty():
+        return found
 
+    def widened(more: DataFrame) -> DataFrame | None:
+        more = settled(more)
+        if more.isEmpty():
+            return None
+        return settled(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+
+    for turn in range(3):  # heads of components, until a group has one or no more of them meet
+        heads = marked(hot, found).groupBy("key", "component").agg(F.min_by(F.struct(*hot.columns), "node").alias("head"))
+        heads = settled(heads.select("head.*", "component"))
+        counts = settled(heads.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("grams").alias("g")).where("c > 1"))
+        if counts.isEmpty():
+            return found
+        deal = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.greatest(F.col("c") / BLOCK, F.col("g") / GRAMS)))
+        more = widened(link(within(heads.join(small(counts), "key"), deal)))
+        if more is None:
+            break
+        found = more
+    hot = marked(hot, found)
+    split = settled(split_groups(hot))
+    if split.isEmpty():
+        return found
+    return widened(link(block_pairs(hot, small(split)))) or found
 
-def similar_links(rows: DataFrame, weights: Weights) -> DataFrame:
-    """rows (family, i, j, side, node, component, marks, weight, text) -> links (a, b) between texts of block i and block j whose similarity is verified.
 
-    Members that share a component already need no link. The links of two blocks are a forest.
-    """
-    rows = rows.select("family", "i", "j", "component", "node", "marks", "weight", "side", "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "component", "node")
+def families(signed: DataFrame) -> DataFrame:
+    """signed (node, bands, marks, weight, grams) -> node, component: texts joined by likely links within buckets."""
+    exploded = signed.select("node", F.explode("bands").alias("key"))
+    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a signature is as large for any text, so only the number of texts bounds a block
+    buckets = exploded.join(shared, "key").join(signed.select("node", "marks", "weight", F.lit(0).alias("grams")), "node")
+    return resolved(buckets, F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK), likely_links)
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words()
-        found: set[tuple[int, int]] = set()
-        for held in runs(batches, 3):
-            grams: dict[int, tuple] = {}
-
-            def gram(i: int) -> tuple:
-                if i not in grams:
-                    grams[i] = shingles(held[i][5])
-                return grams[i]
-
-            group, by = Groups(len(held)), {}
-            for i, h in enumerate(held):
-                group.root[i] = by.setdefault(h[0], i)
-
-            def linked(i: int, js: np.ndarray) -> np.ndarray:
-                hits = np.zeros(len(js), bool)
-                for k, j in enumerate(js.tolist()):
-                    if group.find(i) == group.find(j):
-                        hits[k] = True
-                    elif similarity(gram(i), gram(j), weights) >= SIMILAR:
-                        hits[k] = True
-                        a, b = group.find(i), group.find(j)
-                        group.root[max(a, b)] = min(a, b)
-                        found.add((held[i][1], held[j][1]))
-                return hits
-
-            marks = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
-            side = np.array([h[4] for h in held])
-            reachable(marks, np.array([h[3] for h in held]), lambda i, j: None, linked, side if side.any() else None)
-            if len(found) > 50_000:
-                yield _pairs(found)
-                found.clear()
-        if found:
-            yield _pairs(found)
 
-    return rows.mapInArrow(link, "a long, b long")
+def one_text_each(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes, once each."""
+    return texts.join(small(wanted.select("node")), "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+
+
+def text_node(text: Column) -> Column:
+    return F.xxhash64(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(ids, merged, path): doc_id and node of every row; of each node that shares its class, class_id, class_size and ``first``, the class's first node.
+
+    The first node of a class holds the row with the smallest doc_id, rows without one last; of several,
+    it is the smallest. ``path`` is a folder that the caller removes when both have been used.
+    """
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "near")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", text_node(F.col("text")))
+    texts.select("doc_id", "node").write.parquet(f"{path}/ids")
+    ids = spark.read.parquet(f"{path}/ids")
+    n = ids.count()
+    weights = Weights(frequent_shingles(texts, n), n)
+
+    signatures(texts, weights).write.parquet(f"{path}/signatures")
+    signed = spark.read.parquet(f"{path}/signatures")
+    family = families(signed).withColumnRenamed("component", "key")
+    sizes = settled(family.join(signed.select("node", "grams"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("g")).where((F.col("n") > BLOCK) | (F.col("g") > GRAMS)))
+    placed = family.join(small(sizes), "key", "left").join(signed.select("node", "weight", "grams"), "node")
+    one_text_each(texts, family).join(placed, "node").write.parquet(f"{path}/members")
+    members = spark.read.parquet(f"{path}/members")
+    blocks = F.coalesce(F.ceil(F.greatest(F.col("n") / BLOCK, F.col("g") / GRAMS)), F.lit(1))
+    found = resolved(members, F.col("n").isNotNull(), blocks, lambda rows: similar_links(rows, weights))
+
+    rows = ids.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(found, "node", "left")
+    rows = settled(rows.where(F.col("component").isNotNull() | (F.col("n") > 1)).withColumn("component", F.coalesce("component", "node")))
+    of = rows.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("top"))
+    merged = settled(rows.select("node", "component").join(of, "component").select("node", "class_id", "class_size", F.col("top.node").alias("first")))
+    return ids, merged, path
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> doc_id, class_id (the class's smallest doc_id), class_size, one row per document."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("node", F.xxhash64(F.sha2("text", 256)))
-    weights = Weights(*frequent_shingles(texts))
-    kept = [fresh_path(spark, name) for name in ("near-signatures", "near-texts")]
-
-    signatures(texts, weights).write.parquet(kept[0])
-    signed = spark.read.parquet(kept[0])
-    exploded = signed.select("node", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = signed.select(F.col("node").alias("node"), "marks", "weight")
-    family = families(exploded.join(shared, "band").join(near, "node")).withColumnRenamed("component", "family")
-    family = settled(family)
-
-    # one document of each text that has a likely partner
-    first = texts.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("id")).join(family, "node", "left_semi")
-    ids = first.select(F.col("node").alias("_node"), "id")
-    there = texts.join(ids.hint("shuffle_hash"), (F.col("node") == F.col("_node")) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("id")), "left_semi")
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)  # few beside the texts
-    placed = family.join(F.broadcast(sizes), "family", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    there.select("node", "text").dropDuplicates(["node"]).join(near, "node").join(placed, "node").write.parquet(kept[1])
-    members = spark.read.parquet(kept[1])
-
-    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    links = settled(similar_links(members.select("*", own.alias("i"), own.alias("j"), F.lit(0).alias("side"), F.col("node").alias("component")), weights))
-    found = components(links)
-    # families of several blocks: what the blocks left apart is compared across them, every pair of blocks once
-    large = members.where(F.col("n") > BLOCK).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = settled(split_groups(large, "family"))
-    if not split.isEmpty():
-        more = settled(similar_links(block_pairs(large, split, "family"), weights))
-        if not more.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-
-    placed = texts.select("doc_id", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    placed = settled(placed.select("doc_id", F.coalesce("component", "node").alias("component")))
-    classes = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = settled(placed.join(classes, "component").select("doc_id", "class_id", "class_size"))
-    for path in kept:
-        remove(spark, path)
+    ids, merged, path = classes(docs)
+    rows = ids.join(small(merged.select("node", "class_id", "class_size")), "node", "left")
+    alone = F.col("class_size").isNull()
+    out = settled(rows.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")))
+    remove(docs.sparkSession, path)
     return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; rows without doc_id stay unless a group has other rows."""
-    classes = groups(docs)
-    firsts = classes.where(same(F.col("doc_id"), F.col("class_id")))
-    ids = firsts.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    if firsts.where(F.col("doc_id").isNull()).isEmpty():
-        return chosen
-    return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each class, all columns: of its first node's rows with the class's id, the smallest in all columns."""
+    _, merged, path = classes(docs)
+    node, least, first = (unused(docs, name) for name in ("node", "class_id", "first"))
+    marked_docs, firsts = docs.withColumn(node, text_node(F.col("text"))), merged.where("node = first").select(F.col("node").alias(node), F.col("class_id").alias(least))
+    alone = marked_docs.join(small(merged.select(F.col("node").alias(node))), node, "left_anti").select(*docs.columns)
+    rows = marked_docs.join(small(firsts), node).where(same(F.col("doc_id"), F.col(least)))
+    rows = rows.groupBy(node).agg(F.min(F.struct(*docs.columns)).alias(first)).select(f"{first}.*")
+    remove(docs.sparkSession, path)
+    return alone.unionByName(rows)

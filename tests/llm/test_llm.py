@@ -8,33 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from criterium.llm import components as C
-from criterium.llm import fingerprints, html, idpack, licenses, mixing, near_duplicates, neighbours, packing, quality, queries, tokens, toxicity
+from criterium.llm import fingerprints, html, idpack, licenses, mixing, neighbours, packing, quality, queries, tokens, toxicity
 from criterium.llm import common
+from tests.llm.conftest import DOCS, ODD
 from tests.test_queries import matches
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [
-    (1, "The quick brown fox jumps over the lazy dog again and again.", "en", "a", 60), (2, None, None, None, None), (3, "", "en", "a", 0), (4, "one", "en", "b", 3),
-    (5, "The quick brown fox jumps over the lazy dog again and again.", "en", "b", 60), (5, "The quick brown fox jumps over the lazy dog again and again.", "en", "b", 60),
-    (None, "no id here at all", "en", "c", 17), (7, " \n\n \t ", "de", None, 6), (8, "word " * 30_000, "en", "a", 150_000), (9, "é日本語 ½ \U0001f600 it's", "ja", "c", 12),
-]
-
-
-@pytest.fixture(scope="module")
-def odd(spark):
-    return spark.createDataFrame([(*r, "clash", 1.5) for r in ODD], DOCS + ", score string, size double")
-
-
-@pytest.fixture(scope="module")
-def empty(spark):
-    return spark.createDataFrame([], DOCS)
-
-
-@pytest.fixture(scope="module")
-def documents(spark, data):
-    return spark.read.parquet(f"{data}/documents.parquet")
-
 
 @pytest.mark.parametrize("name", ["op4_merkle", "op5_mix", "op6_licenses"])
 def test_equals_sql(spark, data, name):
@@ -278,125 +256,6 @@ def test_licenses_odd(spark, odd, empty):
     assert "cc-by-nc" in r[0]["labels"] and "reserved" in r[0]["labels"]
 
 
-# near duplicates
-
-
-def words(rng, n):
-    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-
-
-def corpus(seed):
-    rng = random.Random(seed)
-    passage, texts = words(rng, 60), []
-    for _ in range(25):
-        base = words(rng, rng.randint(30, 120)).split()
-        texts.append(" ".join(base))
-        for _ in range(rng.choice([0, 0, 1, 3, 8])):
-            copy = list(base)
-            for _ in range(rng.randint(0, 3)):
-                copy[rng.randrange(len(copy))] = "edited"
-            texts.append(" ".join(copy))
-    texts += [words(rng, 60) + " " + passage for _ in range(20)]
-    return texts + ["", "", "?!", "short one", "short one"]
-
-
-def brute_classes(texts):
-    seen = list(dict.fromkeys(texts))
-    grams = [near_duplicates.shingles(t) for t in seen]
-    df = Counter(int(h) for g in grams for h in g[0])
-    weights = near_duplicates.Weights({h: n for h, n in df.items() if n > near_duplicates.FREQUENT * len(seen)}, len(seen))
-    root = list(range(len(seen)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(seen)):
-        for j in range(i):
-            if near_duplicates.similarity(grams[i], grams[j], weights) >= near_duplicates.SIMILAR:
-                root[find(i)] = find(j)
-    first = {}
-    for k, t in enumerate(texts):
-        first.setdefault(find(seen.index(t)), k)
-    return [first[find(seen.index(t))] for t in texts]
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_equal_brute_force(spark, seed):
-    texts = corpus(seed)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_duplicates.groups(docs).collect()}
-    want = brute_classes(texts)
-    sizes = Counter(want)
-    assert [got[k] for k in range(len(texts))] == [(c, sizes[c]) for c in want]
-
-
-def test_near_duplicates_of_large_families_equal_brute_force(spark, monkeypatch):
-    """A family held together by a template, with small groups of its own, in blocks of few texts."""
-    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
-    rng = random.Random(5)
-    template, texts = words(rng, 100), []
-    for _ in range(40):
-        own = words(rng, 10)
-        texts += [f"{template} {own}", f"{template} {own} {words(rng, 1)}"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_duplicates.groups(docs).collect()}
-    want = brute_classes(texts)
-    sizes = Counter(want)
-    assert max(sizes.values()) < 10 and [got[k] for k in range(len(texts))] == [(c, sizes[c]) for c in want]
-
-
-def test_families_join_all_likely_pairs_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
-    rng = np.random.default_rng(7)
-    signs = rng.integers(0, 256, (60, 80), dtype=np.uint8)
-    signs[1::2, :60] = signs[::2, :60]  # thirty likely pairs, and nothing else
-    rows = [(1, 60, k, bytearray(m.tobytes()), 100.0) for k, m in enumerate(signs)] + [(2, 2, k, bytearray(m.tobytes()), 100.0) for k, m in enumerate(signs[:2])]
-    buckets = spark.createDataFrame(rows, "band long, n long, node long, marks binary, weight double")
-    assert sorted((r["node"], r["component"]) for r in near_duplicates.families(buckets).collect()) == [(k, k - k % 2) for k in range(60)]
-
-
-def test_near_duplicates_odd(spark, odd, empty):
-    rows = near_duplicates.groups(odd).collect()
-    assert len(rows) == len(ODD)
-    classes = {r["doc_id"]: r["class_id"] for r in rows}
-    assert classes[5] == classes[1] == 1 and classes[3] == classes[2] == 2 and classes[4] == 4
-    assert near_duplicates.groups(empty).count() == 0
-    kept = near_duplicates.keep_one(odd)
-    assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, k) for k in (1, 2, 4, 7, 8, 9)] + [(True, None)]
-
-
-def test_samples_estimate_weighted_similarity():
-    rng = np.random.default_rng(0)
-    h = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    h.sort()
-    sampler = near_duplicates.Sampler(2000, seed=5)
-    wa, wb = rng.choice([0.5, 1, 2, 3], 300), rng.choice([0.5, 1, 2, 3], 300)
-    wb[:200] = np.where(rng.random(200) < 0.7, wa[100:], wb[:200])
-    a, b = sampler(h[:300], wa, np.array([0]))[0], sampler(h[100:], wb, np.array([0]))[0]
-    low = np.minimum(wa[100:], wb[:200]).sum()
-    assert abs((a == b).mean() - low / (wa.sum() + wb.sum() - low)) < 0.05
-
-
-def test_components(spark):
-    rng = random.Random(3)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(0, k) for k in range(300, 340)] + [(k, k + 1) for k in range(400, 430)]
-    root = {}
-
-    def find(i):
-        while root.setdefault(i, i) != i:
-            i = root[i]
-        return i
-
-    for a, b in edges:
-        root[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
-    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
 # neighbours
 
 
