@@ -1,15 +1,20 @@
 """License scans: an exact set-similarity join of text blocks with license templates, native.
 
-A block is a line of a text, lower-cased (A-Z), as the set of its words. A template is found in a
-block that holds at least ``threshold`` of the template's distinct words. Template words are ordered
-by document frequency over the whole corpus, rarest first; a block can only reach the threshold
-with a template if it holds one of the template's first (size - need + 1) words (prefix filter), has
-enough words (length filter), and has enough words left after the match (positional filter). What
-passes is verified exactly.
-
-Defined cases: a null text is an empty one and has no words; a text that repeats a line counts every
-place of a phrase; an empty table gives no rows; very long lines are one block each; other columns
-are left aside.
+Words are runs of letters (A-Z as a-z), digits and all other than ASCII. A block is a window of
+2 x L words that begins at every L-th word, L being the length of the longest template, so that
+whatever stands in L words, over line ends and comment marks, lies whole in some block. A template
+is found in a block that holds at least ``threshold`` of the template's distinct words. Template words
+are ordered by document frequency over the whole corpus, rarest first; a block can only reach the
+threshold with a template if it holds one of the template's first (size - need + 1) words (prefix
+filter), has enough template words (length filter), and has enough of them left after the match
+(positional filter). What passes is verified exactly.
+
+A row is scanned where it stands, against the templates as literals: no text, block or link is
+shuffled, so no source or group of copies is hot. A first pass counts template words.
+
+Defined cases: a null text is an empty one and has no words; a text that repeats a phrase counts every
+place of it; an empty table gives no rows; very long texts have as many blocks as they need; repeated
+rows give a row each; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -22,6 +27,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: At 0.8, "released under the apache license" would hold four of the five words of the same line for mit.
+THRESHOLD = 0.85
+
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -44,12 +52,18 @@ TEMPLATES = [
 ]
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+#: ASCII characters that end a word.
+ENDS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    """The words of a text, in order."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + ENDS, LOWER + " " * len(ENDS))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
 def places(tokens: Column, phrase: str) -> Column:
@@ -60,71 +74,69 @@ def places(tokens: Column, phrase: str) -> Column:
     return F.when(F.size(tokens) >= len(parts), first).otherwise(F.array().cast("array<int>"))
 
 
-def prefix_index(frequency: dict[str, int], templates: list[tuple[str, str]], threshold: float) -> tuple[list[str], list[tuple]]:
-    """Template words rarest first, and per template (number, label, ranks in that order, need)."""
-    order = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (frequency.get(w, 0), w))
-    rank = {w: k for k, w in enumerate(order)}
-    rows = []
-    for number, (label, text) in enumerate(templates):
-        ranks = sorted({rank[w] for w in text.split()})
-        rows.append((number, label, ranks, math.ceil(threshold * len(ranks) - 1e-9)))
-    return order, rows
-
-
-def matches(blocks: DataFrame, order: list[str], index: list[tuple]) -> DataFrame:
-    """``blocks`` (key, line) -> key, label, containment for every template that a line holds."""
-    spark = blocks.sparkSession
-    rank = F.create_map(*(F.lit(x) for k, w in enumerate(order) for x in (w, k)))
-    held = F.array_intersect(words(F.col("line")), F.array(*map(F.lit, order)))
-    blocks = blocks.select("key", F.array_sort(F.transform(held, lambda w: rank[w])).alias("ranks")).where(F.size("ranks") > 0)
-    prefix = [(r, n, label, i, len(ranks), need, ranks) for n, label, ranks, need in index for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    table = spark.createDataFrame(prefix, "rank int, template int, label string, i int, n int, need int, members array<int>")
-    probes = blocks.select("key", "ranks", F.posexplode("ranks").alias("j", "rank"))
-    left = 1 + F.least(F.col("n") - F.col("i") - 1, F.size("ranks") - F.col("j") - 1)
-    # the templates are a parameter of the operator, so their table is bounded
-    found = probes.join(F.broadcast(table), "rank").where((F.size("ranks") >= F.col("need")) & (left + F.least(F.col("i"), F.col("j")) >= F.col("need")))
-    overlap = F.size(F.array_intersect("ranks", "members"))
-    found = found.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
-    return found.groupBy("key", "label").agg(F.max(F.col("overlap") / F.col("n")).alias("containment"))
-
-
-def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
+class Index:
+    """Templates with their words rarest first; ``span`` is the length of the longest."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float, frequency: dict[str, int]):
+        self.span = max((len(t.split()) for _, t in templates), default=1)
+        self.order = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (frequency.get(w, 0), w))
+        rank = {w: k for k, w in enumerate(self.order)}
+        self.rows = []
+        for label, text in templates:
+            own = sorted({*text.split()}, key=rank.__getitem__)
+            need = max(1, math.ceil(threshold * len(own) - 1e-9))
+            self.rows.append((label, own, need, own[: len(own) - need + 1]))
+        self.probes = sorted({w for *_, prefix in self.rows for w in prefix})
+
+    def literal(self) -> Column:
+        return F.array(*(F.struct(F.lit(label).alias("label"), strings(own).alias("own"), F.lit(need).alias("need"), strings(prefix).alias("prefix")) for label, own, need, prefix in self.rows))
+
+    def blocks(self, tokens: Column) -> Column:
+        """The template words, rarest first, of every block that holds a probe."""
+        begins = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / self.span).cast("int"))
+        each = F.transform(begins, lambda k: F.slice(tokens, k * self.span + 1, 2 * self.span))
+        return F.transform(F.filter(each, lambda b: F.arrays_overlap(b, strings(self.probes))), lambda b: F.array_intersect(strings(self.order), b))
+
+    def found(self, block: Column) -> Column:
+        """(label, containment) of the templates that a block holds."""
+
+        def passes(t: Column) -> Column:
+            def place(p: Column, i: Column) -> Column:
+                j = F.array_position(block, p).cast("int") - 1
+                rest = 1 + F.least(F.size(t["own"]) - i - 1, F.size(block) - j - 1)
+                return F.when(j >= 0, rest + F.least(i, j) >= t["need"]).otherwise(False)
+
+            return (F.size(block) >= t["need"]) & F.exists(F.transform(t["prefix"], place), lambda x: x)
+
+        overlap = lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(block, t["own"])).alias("overlap"), t["need"].alias("need"), F.size(t["own"]).alias("n"))
+        held = F.filter(F.transform(F.filter(self.literal(), passes), overlap), lambda x: x["overlap"] >= x["need"])
+        return F.transform(held, lambda x: F.struct(x["label"].alias("label"), (x["overlap"] / x["n"]).alias("containment")))
+
+
+def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """documents -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is the largest containment of a template, 1 where a base phrase stands, else 0.
     """
     templates = templates or TEMPLATES
-    vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, t in templates for w in t.split()})))
-    texts = docs.select("doc_id", lowered(F.col("text")).alias("text"))
-    counted = texts.select(F.explode(F.array_intersect(words(F.col("text")), vocabulary)).alias("word")).groupBy("word").count()
-    order, index = prefix_index({r["word"]: r["count"] for r in counted.collect()}, templates, threshold)  # template words alone
-
-    probes = sorted({order[r] for _, _, ranks, need in index for r in ranks[: len(ranks) - need + 1]})
-    edge = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    probe = rf"(?:^|{edge})(?:{'|'.join(probes)})(?:{edge}|$)"
-    of_phrases = "|".join(sorted({p.split()[0] for p in PHRASES}))
-    rare = F.col("text").rlike(probe) | F.col("text").rlike(rf"(?:^|{edge})(?:{of_phrases}){edge}")
-
-    empty = F.lit(None).cast("int")
-    plain = texts.where(~rare).select(
-        "doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_base"),
-        empty.cast("long").alias("first_word"), empty.cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"),
-    )
-
-    likely = texts.where(rare).withColumn("key", F.md5("text"))
-    lines = likely.select("key", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(probe))
-    found = matches(lines, order, index).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    base = likely.select("doc_id", "key", words(F.col("text")).alias("tokens"))
-    base = base.select("doc_id", "key", F.size("tokens").cast("long").alias("n_words"), *(places(F.col("tokens"), p).alias(label) for p, label in PHRASES.items()))
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    counted = docs.select(F.explode(F.array_intersect(strings(vocabulary), words(F.col("text")))).alias("word")).groupBy("word").count()
+    index = Index(templates, threshold, {r["word"]: r["count"] for r in counted.collect()})  # template words alone
+
+    tokens = F.col("tokens")
+    rows = docs.select("doc_id", words(F.col("text")).alias("tokens"))
+    heads = sorted({p.split()[-1] for p in PHRASES})
+    rows = rows.select("doc_id", "tokens", F.arrays_overlap(tokens, strings(heads)).alias("may"), F.arrays_overlap(tokens, strings(index.probes)).alias("probed"))
+    none = "array<struct<label:string,containment:double>>"
+    found = F.when(F.col("probed"), F.flatten(F.transform(index.blocks(tokens), index.found))).otherwise(F.array().cast(none))
+    base = [F.when(F.col("may"), places(tokens, p)).otherwise(F.array().cast("array<int>")).alias(label) for p, label in PHRASES.items()]
+    rows = rows.select("doc_id", F.size(tokens).cast("long").alias("n_words"), *base, found.alias("found"))
     every = F.concat(*(F.col(label) for label in PHRASES.values()))
     named = F.array_compact(F.array(*(F.when(F.size(label) > 0, F.lit(label)) for label in PHRASES.values())))
-    base = base.withColumn("every", every).withColumn("named", named)
-    joined = base.join(found.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
-    has = F.size("every") > 0
-    scanned = joined.select(
+    rows = rows.select("doc_id", "n_words", every.alias("every"), named.alias("named"), F.array_distinct(F.col("found.label")).alias("found"), F.array_max(F.col("found.containment")).alias("containment"))
+    return rows.select(
         "doc_id", "n_words", F.size("every").cast("long").alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"),
         F.array_join(F.array_sort("named"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("named", F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.when(has, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
-    )
-    return plain.unionByName(scanned)
+        F.array_join(F.array_sort(F.array_union("named", "found")), ",").alias("labels"),
+        F.when(F.size("every") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
+    )

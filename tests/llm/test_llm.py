@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips, held-out accuracy and odd rows."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -256,6 +257,42 @@ def test_licenses_odd(spark, odd, empty):
     assert "cc-by-nc" in r[0]["labels"] and "reserved" in r[0]["labels"]
 
 
+def test_licenses_over_lines_equal_brute_force(spark):
+    """Wrapped and commented notices at any place of longer texts; every window against every template."""
+    rng, texts = random.Random(4), []
+    for label, notice in licenses.TEMPLATES:
+        parts = notice.split()
+        for _ in range(4):
+            own = [w for w in parts if rng.random() > 0.1]
+            own = [w + rng.choice([" ", ", ", "\n * ", "\r\n# ", " "]) for w in own]
+            around = ["".join(rng.choice("abcde") for _ in range(3)) + rng.choice([" ", "\n"]) for _ in range(rng.randint(0, 150))]
+            at = rng.randint(0, len(around))
+            texts.append("".join([*around[:at], *own, *around[at:]]).upper() if rng.random() < 0.2 else "".join([*around[:at], *own, *around[at:]]))
+    texts += ["released under the apache license", "x " * 5000 + "all rights reserved", "İ K license"]
+    span = max(len(t.split()) for _, t in licenses.TEMPLATES)
+
+    def brute(text):
+        own = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text))
+        held = [{*own[k : k + 2 * span]} for k in range(0, len(own), span)]
+        best = {}
+        for label, notice in licenses.TEMPLATES:
+            want = {*notice.split()}
+            share = max((len(want & h) / len(want) for h in held), default=0)
+            if share >= licenses.THRESHOLD:
+                best[label] = max(best.get(label, 0), share)
+        plain = f" {' '.join(own)} "
+        base = {label: len(re.findall(f"(?= {p} )", plain)) for p, label in licenses.PHRASES.items()}
+        labels = {*best, *(k for k, n in base.items() if n)}
+        return len(own), sum(base.values()), ",".join(sorted(labels)), 1.0 if any(base.values()) else max(best.values(), default=0.0)
+
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["labels"], r["score"]) for r in rows}
+    assert got == {k: brute(t) for k, t in enumerate(texts)}
+    mit = licenses.TEMPLATES[2][1].split()
+    wrapped = " * " + " ".join(mit[:12]) + ",\n * " + " ".join(mit[12:])
+    assert licenses.scan(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).first()["labels"] == "mit"
+
+
 # neighbours
 
 
