@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from criterium.llm.common import ranked, settled
+from criterium.llm.common import claim, ranked, settled
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -141,6 +141,7 @@ def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None,
         to.append(rest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("places", lambda: None)
         for batch in batches:
             sequences, offsets = [], []
             for length, rank in zip(batch.column("length").to_pylist(), batch.column("rank").to_pylist()):

@@ -3,8 +3,8 @@
 The byte-level vocabularies split a text before any merge. Such a split always falls where a run
 of white space begins, and where a run of letters and digits ends before another character. A
 chunk between two such places therefore encodes to the same ids wherever it stands, and the ids
-of a text are those of its chunks, one after another. Two generations of a bounded dictionary
-keep the chunks seen lately; no id depends on what the dictionary holds.
+of a text are those of its chunks, one after another. Two generations of a dictionary, each of
+bounded bytes, keep the chunks seen lately; no id depends on what the dictionary holds.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from criterium.llm.common import claim
 CHUNK = re.compile(r"\s*[^\W_]+|\s*\S+|\s+")
 #: Characters whose class Python and the tokenizer may see differently: texts that hold them are encoded whole.
 ODD = re.compile("[\x1c-\x1f\U00010000-\U0010ffff]")
-KEPT = 500_000
+#: Bytes of a generation of chunks, and what an entry takes besides its letters and ids; longer chunks are not kept.
+KEPT, ENTRY, LONGEST = 48 << 20, 190, 64
 
 
 def default_path() -> str:
@@ -40,13 +41,15 @@ class _Chunks(dict):
     """The ids of the chunks seen lately; a chunk that is missing is looked up among the older ones, or encoded."""
 
     def __init__(self, tokenizer, old: dict):
-        self.encode, self.old = tokenizer.encode, old
+        self.encode, self.old, self.bytes = tokenizer.encode, old, 0
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             ids = packed(self.encode(chunk, add_special_tokens=False).ids)
-        self[chunk] = ids
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+            self.bytes += ENTRY + len(ids)
         return ids
 
 
@@ -69,7 +72,7 @@ class ChunkEncoder:
         if self.odd.search(text):
             return self.whole(text)
         ids = b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
-        if len(self.chunks) > self.kept:
+        if self.chunks.bytes > self.kept:
             old, self.chunks.old = self.chunks, None
             self.chunks = _Chunks(self.tokenizer, old)
         return ids
