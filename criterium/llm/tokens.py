@@ -1,10 +1,12 @@
 """Exact tokenisation with the ``tokenizers`` library, sped up by encoding each distinct chunk once.
 
 The byte-level vocabularies split a text before any merge. Such a split always falls where a run
-of white space begins, and where a run of letters and digits ends before another character. A
-chunk between two such places therefore encodes to the same ids wherever it stands, and the ids
-of a text are those of its chunks, one after another. Two generations of a dictionary, each of
-bounded bytes, keep the chunks seen lately; no id depends on what the dictionary holds.
+of white space begins, before the last character of such a run if more text follows, and where a run
+of letters and digits ends before another character. A chunk between two such places therefore encodes
+to the same ids wherever it stands, and the ids of a text are those of its chunks, one after another.
+Texts whose white space is spaces and line ends, at most two together, are cut by plain string
+splitting, others by a pattern. Two generations of dictionaries, each of bounded bytes, keep the chunks
+seen lately; no id depends on what they hold.
 """
 
 from __future__ import annotations
@@ -19,9 +21,13 @@ from criterium.llm.common import claim
 
 CHUNK = re.compile(r"\s*[^\W_]+|\s*\S+|\s+")
 #: Characters whose class Python and the tokenizer may see differently: texts that hold them are encoded whole.
-ODD = re.compile("[\x1c-\x1f\U00010000-\U0010ffff]")
+CONTROLS = "\x1c\x1d\x1e\x1f"
+ODD = re.compile(f"[{CONTROLS}\U00010000-\U0010ffff]")
+OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Three characters of white space together.
+RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 #: Bytes of a generation of chunks, and what an entry takes besides its letters and ids; longer chunks are not kept.
-KEPT, ENTRY, LONGEST = 48 << 20, 190, 64
+KEPT, ENTRY, LONGEST = 64 << 20, 190, 64
 
 
 def default_path() -> str:
@@ -38,17 +44,27 @@ def packed(ids: list[int]) -> bytes:
 
 
 class _Chunks(dict):
-    """The ids of the chunks seen lately; a chunk that is missing is looked up among the older ones, or encoded."""
-
-    def __init__(self, tokenizer, old: dict):
-        self.encode, self.old, self.bytes = tokenizer.encode, old, 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = packed(self.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= LONGEST:
-            self[chunk] = ids
+    """Ids by chunk; a missing chunk is looked up among the older ones, put together from smaller chunks, or encoded.
+
+    ``lead`` stands before each key. ``bare`` holds chunks with nothing before them.
+    """
+
+    def __init__(self, tokenizer, lead: str, old: dict, bare: _Chunks | None = None, word=None):
+        self.encode, self.lead, self.old, self.bare, self.bytes = tokenizer.encode, lead, old, self if bare is None else bare, 0
+        self.word = word
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None and self.word and key.isascii() and key.isalpha():
+            ids = packed([t.id for t in self.word("\u0120" + key)])
+        elif ids is None:
+            parts = CHUNK.findall(self.lead + key)
+            if len(parts) > 1:
+                ids = b"".join([self[parts[0][len(self.lead) :]], *map(self.bare.__getitem__, parts[1:])])
+            else:
+                ids = packed(self.encode(self.lead + key, add_special_tokens=False).ids)
+        if len(key) <= LONGEST:
+            self[key] = ids
             self.bytes += ENTRY + len(ids)
         return ids
 
@@ -58,23 +74,38 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Added tokens are found before any split, and a chunk's border could cut one: texts that hold one are encoded whole, too.
-        self.odd = re.compile("|".join([ODD.pattern, *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.kept, self.chunks = kept, _Chunks(self.tokenizer, {})
+        #: A space and ASCII letters are one piece for the byte-level splitter, which writes the space as U+0120: the merges alone encode them.
+        plain = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and type(self.tokenizer.model).__name__ == "BPE"
+        self.word = self.tokenizer.model.tokenize if plain else None
+        self.kept = kept
+        self._turn({}, {})
+
+    def _turn(self, bare: dict, spaced: dict) -> None:
+        self.bare = _Chunks(self.tokenizer, "", bare)
+        self.spaced = _Chunks(self.tokenizer, " ", spaced, self.bare, self.word)
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if self.odd.search(text):
+        if (any(c in text for c in CONTROLS) if text.isascii() else ODD.search(text)) or any(t in text for t in self.added):
             return self.whole(text)
-        ids = b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
-        if self.chunks.bytes > self.kept:
-            old, self.chunks.old = self.chunks, None
-            self.chunks = _Chunks(self.tokenizer, old)
+        if (any(c in text for c in "\t\r\x0b\x0c") if text.isascii() else OTHER_SPACE.search(text)) or any(r in text for r in RUNS) or text[-2:].isspace():
+            ids = b"".join(map(self.bare.__getitem__, CHUNK.findall(text)))
+        else:
+            found, spaced = [], self.spaced.__getitem__
+            for k, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                found.append(self.bare["\n" + first if k else first])
+                found.extend(map(spaced, rest))
+            ids = b"".join(found)
+        if self.bare.bytes + self.spaced.bytes > self.kept:
+            self.bare.old, self.spaced.old = {}, {}
+            self._turn(self.bare, self.spaced)
         return ids
 
 

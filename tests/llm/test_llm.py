@@ -29,6 +29,13 @@ def test_chunks_encode_like_whole_texts(text):
     assert coder.encode(text) == coder.whole(text) == coder.encode(text)
 
 
+def test_white_space_encodes_like_whole_texts():
+    rng, coder = random.Random(6), tokens.ChunkEncoder(tokens.default_path(), kept=2000)
+    for _ in range(3000):
+        text = "".join(rng.choice([" ", " ", "\n", "\n", "\t", "\xa0", "a", "Word", "it's", ",", "1", "_", "é", "."][: rng.choice([4, 14, 14])]) for _ in range(rng.randint(0, 12)))
+        assert coder.encode(text) == coder.whole(text), repr(text)
+
+
 def test_added_tokens_encode_like_the_library():
     from tokenizers import Tokenizer
 
