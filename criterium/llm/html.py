@@ -1,21 +1,28 @@
-"""Main text of web pages: structure, and a suffix array over the pages of a host.
+"""Main text of web pages: structure, and the runs of words that the pages of a host repeat.
 
 Each page becomes a stream of blocks, marked as content (inside ``article`` or ``main``), open (the
-page has neither) or furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments,
-by tag, role, class or id). The token streams of a host's pages are concatenated, with a sentinel of
-its own after each page, and a suffix array sorted to ``RUN`` tokens shows which runs stand on several
-distinct pages. In open blocks every run that stands on at least ``OPEN_PAGES`` distinct pages is
-removed. In content blocks a repeated passage may be the article's own (quotations, copies), so a run
-goes only if it stands on nearly all (``SHARE``) of at least ``CONTENT_PAGES`` distinct pages. Pages
-with the same content count as one.
+page has neither) or furniture, which goes (menus, headers, footers, sidebars, notices, adverts, forms,
+reader comments, by tag, role, class or id). The words of a host's pages are searched for long
+substrings that stand on many of its distinct pages. A suffix array of a whole host would be one task's
+work, so it is kept distributed and sorted to ``RUN`` words: as the table of the host's runs of that
+many words with the number of distinct pages of each, a maximal repeat being a stretch of runs that
+repeat. That table holds what may repeat alone: of every ``WINDOW`` runs that follow each other, and
+of every block, the run with the smallest hash is an anchor, so that a repeated substring of
+``RUN + WINDOW - 1`` words, or a repeated block of ``RUN``, has an anchor; anchors are counted first,
+then all runs near those that stand on enough pages. Counts are sums over the whole host, combined in
+each task before the shuffle, and do not depend on how pages are dealt to tasks.
 
-Pages are range-partitioned by host and a hash of page_id, and a task takes the pages of a host in
-chunks of at most ``PAGES`` pages and ``TOKENS`` tokens, so that a hot host spreads over tasks.
+In open blocks the words of runs on at least ``OPEN_SHARE`` of the host's distinct pages, and on
+``OPEN_PAGES``, are removed. In content a repeated passage may be the article's own (quotations,
+copies), so only whole blocks go, and only with runs on ``SHARE`` of at least ``CONTENT_PAGES`` pages.
+A page that would lose more than ``MOST`` of its words keeps all: it is a near copy of others, not an
+article among boilerplate. Pages with equal html count as one.
 
 Defined cases: a null html is an empty page, with an empty text; a page without a host groups under
-the empty host; unclosed elements end with their page, unclosed paragraphs with the next block; text
-behind an unclosed ``<`` is text; repeated rows give a row each; an empty table gives no rows; very
-long pages make a chunk of their own; other columns are left aside.
+the empty host; end tags that HTML lets one omit are implied, and unclosed elements end with their
+parent or page; text behind an unclosed ``<`` is text; a page with an article that class names would
+leave without text is read without them; repeated rows give a row each; an empty table gives no rows;
+very long pages are handled whole; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -29,48 +36,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN, OPEN_PAGES, CONTENT_PAGES, SHARE = 8, 2, 10, 0.8
-PAGES, TOKENS = 256, 400_000
+from criterium.llm.common import BROADCAST_ROWS, claim, settled, small
+from criterium.llm.shingles import run_hashes, spaced_hashes
+
+RUN, WINDOW = 8, 8
+OPEN_PAGES, OPEN_SHARE = 3, 0.5
+CONTENT_PAGES, SHARE = 10, 0.8
+MOST = 0.8
+#: Runs that a task gathers before it hands their counts on.
+GATHERED = 500_000
 
 # Elements of the HTML standard, by what they do to the text around them.
-RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|button|canvas|math|video|audio"
+RAW = "script|style|textarea|iframe|noframes|noembed|xmp"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
-FURNITURE = frozenset("head nav footer aside form menu dialog search".split())
+FURNITURE = frozenset("head nav footer aside form menu dialog search noscript template svg object select button canvas math video audio".split())
 CONTAINERS = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+CELLS = frozenset("td th caption".split())
+SCOPE = CELLS | {"table", "html"}
+#: What a start tag closes, and where the search for it ends.
+IMPLIED = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu".split()) | SCOPE),
+    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"]) | SCOPE),
+    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"]) | SCOPE),
+    "option": (frozenset(["option"]), frozenset("select optgroup".split()) | SCOPE),
+    "td": (CELLS, frozenset("tr table".split())),
+    "th": (CELLS, frozenset("tr table".split())),
+    "tr": (frozenset(["tr"]), frozenset("tbody thead tfoot table".split())),
+    "tbody": (frozenset("tbody thead tfoot".split()), frozenset(["table"])),
+    "thead": (frozenset("tbody thead tfoot".split()), frozenset(["table"])),
+    "tfoot": (frozenset("tbody thead tfoot".split()), frozenset(["table"])),
+}
+PARAGRAPH = (frozenset(["p"]), SCOPE)
+KEEPS_PARAGRAPH = frozenset("body head html title caption tbody thead tfoot tr td th option optgroup legend summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"comments?|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|footer|masthead|pagination|pager|skip|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+
+#: Names of furniture in class and id; such a name may stand among other names and ``AROUND``.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored banner banners promo promos promotion promotions cookie cookies consent gdpr notice notices "
+    "popup modal overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus replies reply respond share sharing social related recommended recommendations "
+    "newsletter subscribe subscription signup login footer masthead pagination pager skip toolbar widget widgets".split()
+)
+AROUND = frozenset(
+    "a area article articles bar block blog bottom box button buttons column container content desktop entry fixed form global google group head header icon icons inline inner item items js left "
+    "link links list main media mobile more news outer page pane panel post posts primary reader reading region right row secondary section site slot space sticky stories story text the title to top "
+    "unit user wrap wrapper".split()
 )
+#: Names that mean the same behind any other word but ``STATES``, which tell how the rest of a page is laid out.
+STRONG = frozenset("advert advertisement advertisements sidebar navbar navigation breadcrumb breadcrumbs comments disqus newsletter footer pagination pager cookies gdpr".split())
+STATES = frozenset("no not non has have with without is hide hides show shows layout two three cols columns grid full wide below above beside".split())
+#: Of these names an article may be made: reader comments, adverts and teasers.
+ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply related recommended".split())
+
 PIECE = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+(?:x\d+)?|[^\W\d_]+")
 CONTENT, OPEN = 1, 0
 
 
-def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
+def names_furniture(name: str, known: frozenset = NAMES) -> bool:
+    """Whether one class or id names furniture: all its parts are such names or go with them, or a strong name ends it."""
+    parts = [p.lower() for p in PART.findall(name)]
+    if not any(p in known for p in parts):
+        return False
+    rest = [p for p in parts if p not in known and p not in AROUND and not p[0].isdigit() and len(p) > 1]
+    if not rest:
+        return True
+    last = max(k for k, p in enumerate(parts) if p in known)
+    behind = [p for p in parts[last + 1 :] if p not in AROUND and not p[0].isdigit()]
+    return parts[last] in STRONG and not behind and not STATES.intersection(parts[:last])
+
+
+def is_furniture(tag: str, attributes: str, inside: bool, hints: bool = True) -> bool:
     if tag in FURNITURE or tag == "header" and not inside:
         return True
-    if tag in ("html", "body", *CONTAINERS) or not attributes:
+    if not hints or not attributes or tag in ("html", "body", "main"):
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values)
-        if value.lower() in ROLES if name.lower() == "role" else HINT.search(value):
+        if name.lower() == "role":
+            if value.lower() in ROLES and tag != "article":
+                return True
+        elif any(names_furniture(v, ARTICLES if tag == "article" else NAMES) for v in value.split()):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[int, str]]:
+def blocks_of(page: str, hints: bool = True) -> list[tuple[int, str]]:
     """(mark, text) of a page's blocks in order; furniture is left out. Open blocks stay only where the page has no content."""
     found: list[tuple[int, str]] = []
     text: list[str] = []
-    inside, skip, depth, at = 0, "", 0, 0
+    stack: list[tuple[str, bool]] = []  # (tag, furniture) of open elements; in line ones only as furniture or inside of it
+    inside = skip = at = 0
+    articles = False
 
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
@@ -78,6 +142,21 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if joined:
             found.append((CONTENT if inside else OPEN, joined))
 
+    def close(k: int) -> None:
+        nonlocal inside, skip
+        while len(stack) > k:
+            tag, furniture = stack.pop()
+            skip -= furniture
+            inside -= tag in CONTAINERS and not furniture
+
+    def close_one(tags: frozenset, until: frozenset) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in tags:
+                return close(k)
+            if stack[k][0] in until:
+                return None
+        return None
+
     for m in PIECE.finditer(page):
         if not skip:
             text.append(page[at : m.start()])
@@ -85,139 +164,177 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         tag = (m[3] or "").lower()
         if not tag:
             continue
-        if skip:
-            if skip == "head" and tag == "body":
-                skip = ""
-            elif tag == skip:
-                depth += -1 if m[2] else 1
-                skip = skip if depth else ""
-            continue
-        if tag in BLOCKS:
-            flush()
-        elif tag == "br":
-            text.append(" ")
-        if m[2]:
-            if tag in CONTAINERS and inside:
-                inside -= 1
-        elif tag not in VOID and not m[4].endswith("/"):
-            if is_furniture(tag, m[4], inside > 0):
+        block = tag in BLOCKS
+        if not skip:
+            if block:
                 flush()
-                skip, depth = tag, 1
-            elif tag in CONTAINERS:
-                inside += 1
+            elif tag == "br":
+                text.append(" ")
+        if m[2]:
+            if block or skip:
+                close_one(frozenset([tag]), (SCOPE if tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot") else frozenset(["table"])) if block else BLOCKS)
+            continue
+        if stack and tag not in IN_HEAD and any(t == "head" for t, _ in stack[:3]):
+            close_one(frozenset(["head"]), frozenset())
+        if block and stack:
+            if tag not in KEEPS_PARAGRAPH:
+                close_one(*PARAGRAPH)
+            if tag in IMPLIED:
+                close_one(*IMPLIED[tag])
+        if tag in VOID or m[4].endswith("/"):
+            continue
+        furniture = is_furniture(tag, m[4], inside > 0, hints)
+        if block or furniture or skip:
+            stack.append((tag, furniture))
+            skip += furniture
+            if tag in CONTAINERS:
+                articles = True
+                inside += not furniture
     if not skip:
         text.append(page[at:])
         flush()
     marked = [b for b in found if b[0] == CONTENT]
+    if hints and articles and not marked:
+        again = blocks_of(page, False)
+        if again and again[0][0] == CONTENT:
+            return again
     return marked or found
 
 
-def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``depth`` (a power of two) tokens: prefix doubling."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64).ravel()
-    step = 1
-    while step < depth:
-        after = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)])[: len(rank)]
-        rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64).ravel()
-        step *= 2
-    return rank
-
-
-def repeated(tokens: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray:
-    """On how many distinct pages each run of ``run`` tokens stands, by its first token."""
-    rank = suffix_ranks(tokens, run)
-    order = np.lexsort((pages, rank))  # the suffix array; equal neighbours share a run
-    r, p = rank[order], pages[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-    return np.bincount(r[new], minlength=int(rank.max()) + 1)[rank]
-
-
-def covered(tokens: np.ndarray, owner: np.ndarray, marks: np.ndarray, distinct: int) -> np.ndarray:
-    """Which tokens lie in a run that stands on too many distinct pages for its mark."""
-    on, out = repeated(tokens, owner, RUN), np.zeros(len(tokens), bool)
-    for mark, least in ((OPEN, OPEN_PAGES), (CONTENT, max(CONTENT_PAGES, SHARE * distinct))):
-        begins = np.flatnonzero((on >= least) & (marks == mark))
-        edges = np.zeros(len(tokens) + 1, np.int64)
-        np.add.at(edges, begins, 1)
-        np.add.at(edges, np.minimum(begins + RUN, len(tokens)), -1)
-        out |= (np.cumsum(edges)[:-1] > 0) & (marks == mark)
-    return out
-
-
-def clean_chunk(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """The texts of a chunk of one host's pages, given as their blocks.
-
-    Two streams are searched: with a sentinel after each block, for runs inside a block, and with one
-    after each page only, for blocks that lie in longer runs as a whole, such as the items of a list.
-    """
-    ids: dict[str, int] = {}
-    number: dict[tuple, int] = {}
-    stream, owner, marks, block, last = [], [], [], [], []
-    for blocks in pages:
-        who = number.setdefault(tuple(blocks), len(number))
-        for mark, text in blocks:
-            words = [*text.split(" "), ""]
-            stream.extend(ids.setdefault(w, len(ids)) for w in words)
-            owner.extend([who] * len(words))
-            marks.extend([mark] * len(words))
-            last.extend([False] * (len(words) - 1) + [True])
-        if blocks:
-            block.append(len(stream) - 1)
-    distinct = len(number)
-    if distinct < OPEN_PAGES:
-        return ["\n\n".join(t for _, t in blocks) for blocks in pages]
-    tokens, owner, marks, last = np.array(stream, np.int64), np.array(owner, np.int64), np.array(marks), np.array(last, bool)
-    ends = np.flatnonzero(last)
-    tokens[ends] = -1 - np.arange(len(ends))  # a sentinel of its own for each block
-    inside = covered(tokens, owner, marks, distinct)
-    through = ~last
-    through[block] = True  # of the sentinels, those of the pages stay
-    whole = np.ones(len(tokens), bool)
-    whole[through] = covered(tokens[through], owner[through], marks[through], distinct)
-    texts, at = [], 0
-    for blocks in pages:
-        kept = []
-        for _, text in blocks:
-            words = text.split(" ")
-            here = slice(at, at + len(words))
-            at += len(words) + 1
-            if not whole[here].all():
-                gone = inside[here]
-                left = " ".join(w for w, g in zip(words, gone) if not g) if gone.any() else text
-                if left:
-                    kept.append(left)
-        texts.append("\n\n".join(kept))
-    return texts
+def runs_of(blocks: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the runs of ``RUN`` words of a page, by their first word; the first word of each block and the number of words)."""
+    bounds = np.cumsum([0, *(t.count(" ") + 1 for _, t in blocks)])
+    if bounds[-1] < RUN:
+        return np.empty(0, np.uint64), bounds
+    return run_hashes(spaced_hashes(" ".join(t for _, t in blocks)), RUN), bounds
+
+
+def anchors_of(runs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places of the runs with the smallest hash among each ``WINDOW`` runs of the page, and of each block."""
+
+    def smallest(begin: int, end: int) -> np.ndarray:
+        if end - begin <= WINDOW:
+            return np.array([begin + int(runs[begin:end].argmin())])
+        return np.unique(np.lib.stride_tricks.sliding_window_view(runs[begin:end], WINDOW).argmin(axis=1) + np.arange(begin, end - WINDOW + 1))
+
+    if not len(runs):
+        return np.empty(0, np.int64)
+    inner = [smallest(b, e - RUN + 1) for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()) if e - b >= RUN]
+    return np.unique(np.concatenate([smallest(0, len(runs)), *inner]))
+
+
+def covered(runs: np.ndarray, words: int, frequent: np.ndarray) -> np.ndarray:
+    """Which words lie in a frequent run."""
+    out = np.zeros(words + 1, np.int64)
+    begins = np.flatnonzero(np.isin(runs, frequent)) if len(frequent) else []
+    if len(begins):
+        np.add.at(out, begins, 1)
+        np.add.at(out, begins + RUN, -1)
+    return np.cumsum(out)[:-1] > 0
+
+
+def cleaned(blocks: list[tuple[int, str]], open_runs: np.ndarray, content_runs: np.ndarray) -> str:
+    """The text of a page without what its host repeats."""
+    texts = [t for _, t in blocks]
+    if not blocks or not (len(open_runs) or len(content_runs)):
+        return "\n\n".join(texts)
+    runs, bounds = runs_of(blocks)
+    content = blocks[0][0] == CONTENT  # a page's blocks are of one kind
+    gone = covered(runs, int(bounds[-1]), content_runs if content else open_runs)
+    if content:
+        for b, e in zip(bounds[:-1], bounds[1:]):
+            gone[b:e] = gone[b:e].all()
+    if gone.sum() > MOST * len(gone):
+        return "\n\n".join(texts)
+    kept = []
+    for text, b, e in zip(texts, bounds[:-1], bounds[1:]):
+        if gone[b:e].any():
+            text = " ".join(w for w, g in zip(text.split(" "), gone[b:e]) if not g)
+        if text:
+            kept.append(text)
+    return "\n\n".join(kept)
+
+
+def _counted(pages: DataFrame, places) -> DataFrame:
+    """pages (html, host, share, ..) -> host, run, n: on how many distinct pages of the host each run stands that ``places(runs, bounds, row)`` names."""
+    names = pages.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("html", lambda: None)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def combined() -> list[np.ndarray]:
+            host, run, share = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((run, host))
+            host, run, share = host[order], run[order], share[order]
+            first = np.flatnonzero(np.concatenate([[True], (host[1:] != host[:-1]) | (run[1:] != run[:-1])]))
+            return [host[first], run[first], np.add.reduceat(share, first)]
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                runs, bounds = runs_of(blocks_of(row["html"]))
+                own = np.unique(runs[places(runs, bounds, row)]).view(np.int64)
+                if len(own):
+                    held.append((np.full(len(own), row["host"]), own, np.full(len(own), row["share"])))
+                    size += len(own)
+                if size > GATHERED:
+                    held = [tuple(combined())]
+                    size = len(held[0][0])
+                    if size > GATHERED // 2:
+                        yield pa.record_batch(list(held[0]), names=["host", "run", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.record_batch(combined(), names=["host", "run", "n"])
+
+    counts = pages.select(*names).mapInArrow(count, "host long, run long, n double").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") > OPEN_PAGES - 0.01)
+
+
+def _by_host(rows: DataFrame, n: int, **columns) -> DataFrame:
+    """One row of arrays for each host, to be broadcast if ``rows`` are few; a host has no more frequent runs than a few of its pages have words."""
+    lists = rows.groupBy("host").agg(*(F.collect_list(c).alias(name) for name, c in columns.items()))
+    return F.broadcast(lists) if n <= BROADCAST_ROWS else lists
+
+
+def _array(values) -> np.ndarray:
+    return np.array(values or [], np.int64).view(np.uint64)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.xxhash64("page_id").alias("h"))
-    rows = rows.repartitionByRange("host", "h", "page_id").sortWithinPartitions("host", "h", "page_id", "html")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.xxhash64(host).alias("host"))
+    same = settled(rows.groupBy("host", F.xxhash64("html").alias("page")).agg(F.count(F.lit(1)).alias("copies")))
+    hosts = settled(same.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= OPEN_PAGES))
+    repeated = settled(same.where("copies > 1"))
+    # what a page counts: copies of one page count as one together
+    shared = rows.withColumn("page", F.xxhash64("html")).join(small(repeated), ["host", "page"], "left").select("html", "host", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+
+    def frequent(counts: DataFrame) -> DataFrame:
+        return settled(counts.join(small(hosts), "host").where(F.col("n") > OPEN_SHARE * F.col("pages") - 0.01))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        host, size = None, 0
+    anchors = frequent(_counted(shared, lambda runs, bounds, row: anchors_of(runs, bounds)))
+    n = anchors.count()
+    if n:
+        near = np.arange(1 - RUN - WINDOW, RUN + WINDOW)
 
-        def done() -> pa.RecordBatch:
-            texts = clean_chunk([h[2] for h in held])
-            out = pa.record_batch([pa.array(c, t) for c, t in zip(([h[0] for h in held], [h[1] for h in held], texts), (pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
-            held.clear()
-            return out
+        def places(runs: np.ndarray, bounds: np.ndarray, row: dict) -> np.ndarray:
+            at = np.flatnonzero(np.isin(runs, _array(row["anchors"])))
+            at = (at[:, None] + near).ravel()
+            return np.unique(at[(at >= 0) & (at < len(runs))])
 
+        runs = frequent(_counted(shared.join(_by_host(anchors, n, anchors=F.col("run")), "host"), places))
+        in_content = (F.col("pages") >= CONTENT_PAGES) & (F.col("n") > SHARE * F.col("pages") - 0.01)
+        rows = rows.join(_by_host(runs, runs.count(), open_runs=F.col("run"), content_runs=F.when(in_content, F.col("run"))), "host", "left")
+    else:
+        rows = rows.withColumn("open_runs", F.array().cast("array<long>")).withColumn("content_runs", F.array().cast("array<long>"))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("html", lambda: None)
         for batch in batches:
-            for page_id, url, page, at in zip(*(batch.column(k) for k in range(4))):
-                blocks = blocks_of(page.as_py())
-                words = sum(t.count(" ") + 1 for _, t in blocks)
-                if held and (at.as_py() != host or len(held) >= PAGES or size + words > TOKENS):
-                    yield done()
-                    size = 0
-                host, size = at.as_py(), size + words
-                held.append((page_id.as_py(), url.as_py(), blocks))
-        if held:
-            yield done()
+            texts = [cleaned(blocks_of(page.as_py()), _array(a.as_py()), _array(b.as_py())) for page, a, b in zip(*(batch.column(k) for k in range(2, 5)))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    found = rows.select("page_id", "url", "html", "host").mapInArrow(run, "page_id long, url string, text string")
+    found = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "open_runs", "content_runs").mapInArrow(clean, "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -23,10 +23,13 @@ U = np.uint64
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
 _INSIDE[128:] = True
+_NOT_SPACE = np.ones(256, bool)
+_NOT_SPACE[32] = False
 _LETTER = np.random.default_rng(17).integers(1, 2**64, 256, dtype=U)
 _ODD, _MIX = 0x9E3779B97F4A7C15, U(0xD1B54A32D192ED03)
-#: Factors of a shingle's words, by its length and their place.
-_PLACE = np.random.default_rng(18).integers(0, 2**63, (WORDS + 1, WORDS), dtype=U) * U(2) + U(1)
+#: Factors of the words of a run, by its length and their place; the longest run.
+LONGEST = 8
+_PLACE = np.random.default_rng(18).integers(0, 2**63, (LONGEST + 1, LONGEST), dtype=U) * U(2) + U(1)
 
 
 def _powers(base: int) -> np.ndarray:
@@ -43,10 +46,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def _slice_hashes(data: np.ndarray) -> np.ndarray:
+def _slice_hashes(data: np.ndarray, letters: np.ndarray) -> np.ndarray:
     """A hash of each word of at most ``SLICE`` bytes: a polynomial of its letters, from running sums."""
     inside = np.zeros(len(data) + 2, bool)
-    _INSIDE.take(data, out=inside[1:-1])
+    letters.take(data, out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edges[::2], edges[1::2]
     sums = np.zeros(len(data) + 1, U)
@@ -54,42 +57,56 @@ def _slice_hashes(data: np.ndarray) -> np.ndarray:
     return _mixed((sums.take(end) - sums.take(begin)) * _DOWN.take(begin))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words, in order. Words are runs of ASCII letters, digits and all other than ASCII, in lower case."""
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+def _hashes(data: np.ndarray, letters: np.ndarray) -> np.ndarray:
     if len(data) < SLICE:
-        return _slice_hashes(data)
+        return _slice_hashes(data, letters)
     parts, at = [], 0
     while at < len(data):
         end = at + SLICE
-        outside = np.flatnonzero(~_INSIDE[data[at:end]])
+        outside = np.flatnonzero(~letters[data[at:end]])
         if len(outside):
             end = at + int(outside[-1]) + 1 if end < len(data) else len(data)
-            parts.append(_slice_hashes(data[at:end]))
+            parts.append(_slice_hashes(data[at:end], letters))
         elif end > len(data):
             end = len(data)
-            parts.append(_slice_hashes(data[at:end]))
+            parts.append(_slice_hashes(data[at:end], letters))
         else:  # a word of a whole slice and more
-            while end < len(data) and _INSIDE[data[end : end + SLICE]].all():
+            while end < len(data) and letters[data[end : end + SLICE]].all():
                 end += SLICE
             if end < len(data):
-                end += int(np.argmin(_INSIDE[data[end : end + SLICE]]))
+                end += int(np.argmin(letters[data[end : end + SLICE]]))
             end = min(end, len(data))
             parts.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].tobytes())], U))
         at = end
     return np.concatenate(parts)
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words, in order. Words are runs of ASCII letters, digits and all other than ASCII, in lower case."""
+    return _hashes(np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8), _INSIDE)
+
+
+def spaced_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of what stands between spaces, in order."""
+    return _hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), _NOT_SPACE)
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n hashes, n up to ``LONGEST``."""
+    m = len(h) - n + 1
+    mixed = h[:m] * _PLACE[n, 0]
+    for k in range(1, n):
+        mixed += h[k : k + m] * _PLACE[n, k]
+    return mixed
+
+
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes ascending, counts); a text of fewer than ``WORDS`` words is one shingle."""
     h = word_hashes(text)
     if not len(h):
         return h, np.empty(0, np.int64)
-    n = min(WORDS, len(h))
-    m = len(h) - n + 1
-    mixed = h[:m] * _PLACE[n, 0]
-    for k in range(1, n):
-        mixed += h[k : k + m] * _PLACE[n, k]
+    mixed = run_hashes(h, min(WORDS, len(h)))
+    m = len(mixed)
     mixed.sort()
     new = np.empty(m + 1, bool)
     new[0] = new[m] = True

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from criterium.llm import fingerprints, html, idpack, licenses, mixing, neighbours, packing, quality, queries, tokens, toxicity
+from criterium.llm import fingerprints, idpack, licenses, mixing, neighbours, packing, quality, queries, tokens, toxicity
 from criterium.llm import common
 from tests.llm.conftest import DOCS, ODD
 from tests.test_queries import matches
@@ -333,44 +333,6 @@ def test_neighbours_odd(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-# pages
-
-
-def test_article_is_kept_and_furniture_goes():
-    page = (
-        '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li>Home</li></ul></nav><div class="ad">Buy</div><header>Site</header>'
-        "<article><h1>A &amp; B</h1><p><b>First  line<br>more\n<p>Second &lt;x&gt; 1 < 2</p><aside>Side</aside><div id='comments'>Troll</div><form>f</form></article><footer>&copy;</footer>"
-    )
-    assert html.clean_chunk([html.blocks_of(page)]) == ["A & B\n\nFirst line more\n\nSecond <x> 1 < 2"]
-
-
-def test_repeated_runs_leave_open_pages():
-    menu = "all our offers in one place every single day of the year"
-    pages = [f"<body><div>{menu}</div><div>own text number {k} of this page only</div><div>{menu}</div>" for k in range(5)]
-    assert html.clean_chunk([html.blocks_of(p) for p in pages]) == [f"own text number {k} of this page only" for k in range(5)]
-
-
-def test_shared_passages_stay_in_articles():
-    passage = "a passage that many documents share word for word and that is part of the text"
-    pages = [f"<article><p>own {k}</p><p>{passage}</p></article>" if k < 8 else f"<article><p>other {k}</p></article>" for k in range(20)]
-    assert html.clean_chunk([html.blocks_of(p) for p in pages])[0] == f"own 0\n\n{passage}"
-
-
-def test_suffix_ranks_equal_brute_force():
-    t = np.random.default_rng(1).integers(0, 3, 300)
-    r = html.suffix_ranks(t, 8)
-    own = [tuple(t[i : i + 8]) for i in range(300)]
-    assert [sorted(set(own)).index(o) for o in own] == list(r)
-
-
-def test_pages_odd(spark):
-    rows = [(1, None, None), (2, "http://h/x", ""), (3, "http://h/y", "<p>text</p>"), (3, "http://h/y", "<p>text</p>"), (None, "bad url", "plain"), (4, "http://h/z", "<nav>only"), (5, "http://h/w", "<p>" + "long word " * 50_000)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
-    got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html.extract(df).collect())
-    assert got == [("1", "", 0), ("2", "", 0), ("3", "text", 4), ("3", "text", 4), ("4", "", 0), ("5", ("long word " * 50_000).strip(), 499_999), ("None", "plain", 5)]
-    assert html.extract(df.limit(0)).count() == 0
-
-
 # the pipeline
 
 
