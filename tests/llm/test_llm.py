@@ -322,6 +322,23 @@ def test_neighbours_recall(spark, data):
     assert hits / total >= 0.9
 
 
+def test_neighbours_candidates():
+    """Of random vectors, which the tables' nearly are, a quarter is read for a recall of 0.9 and more; of vectors in tight groups, a few hundredths."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(16_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    tight = np.repeat(rng.normal(size=(400, 64)), 20, axis=0) + 0.05 * rng.normal(size=(8000, 64))
+    for data, reach, floor, share, recall in ((x, neighbours.REACH, neighbours.LEAST, 0.3, 0.9), (tight, 0.02, 0, 0.05, 0.99)):
+        n, asks = len(data), np.arange(0, len(data), 100)
+        forest = neighbours.Forest(data, np.sqrt((data * data).sum(axis=1).max()))
+        read = hits = 0
+        for i, (rows, scores, candidates) in zip(asks, forest.search(data[asks], neighbours.strings(data[asks], np.zeros(len(asks))), 20, reach, floor)):
+            near = np.argsort(-(data @ data[i]), kind="stable")[:20]
+            hits += len({*near.tolist()} & {*rows.tolist()})
+            read += candidates
+        assert read / len(asks) / n < share and hits / 20 / len(asks) >= recall
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (7, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [-1.0, 1.0]), (None, [9.0, 9.0]), (10, [1.0, 2.0, 3.0]), (20, [3.0, 1.0]), (20, [3.0, 1.0])]
