@@ -50,30 +50,27 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(source, F.lit("\x00")))), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def mix(docs: DataFrame, *, weights: list[int] | None = None, budget: float = 1.5, cap: float = 2.0, seed: str = "mix:") -> DataFrame:
-    """documents -> doc_id, size, source_size, target, copies, taken."""
+def _copied(docs: DataFrame, row: list[Column], *, weights: list[int] | None = None, budget: float = 1.5, cap: float = 2.0, seed: str = "mix:") -> DataFrame:
+    """documents -> ``row``, doc_id, size, source_size, target, copies."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("_key", key)
-    rows = ranked(rows, ["source"], ["size", "_key", "doc_id"])
+    rows = docs.select(*row, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), F.monotonically_increasing_id().alias("_at"))
+    # rows that are equal in all of the order are spread by their place
+    rows = ranked(rows, ["source"], ["size", "_key", "doc_id", "_at"])
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights or [5, 2, 1], budget, cap).withColumnRenamed("source", "_source")
     rows = rows.join(targets, same(F.col("source"), F.col("_source")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     begin = F.floor(offset(F.col("source"), seed) + F.col("rank") * each)
     end = F.floor(offset(F.col("source"), seed) + (F.col("rank") + 1) * each)
-    copies = F.least(end - begin, F.lit(cap).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", F.least(end - begin, F.lit(cap).cast("long")))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes, all columns, each as often as it is taken.
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """documents -> doc_id, size, source_size, target, copies, taken. ``how``: weights, budget, cap, seed."""
+    return _copied(docs, [], **how).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
-    Copies are found on narrow rows and joined to the documents by doc_id. Rows that repeat a doc_id
-    are told apart by their size, and among equal sizes by turns.
-    """
-    turn = lambda size: F.row_number().over(Window.partitionBy("doc_id").orderBy(size))
-    taken = mix(docs.select("doc_id", "source", "text"), **how)
-    taken = taken.select(F.col("doc_id").alias("_id"), turn(F.col("size")).alias("_turn"), F.col("copies").alias("_copies")).where("_copies > 0")
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", turn(word_count(F.col("text"))).alias("_mine"))
-    rows = own.join(taken, same(own["doc_id"], taken["_id"]) & (own["_mine"] == taken["_turn"]))
-    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The documents that the mix takes, all columns, each as often as it is taken. Whole rows are ranked, so that none is looked up again."""
+    rows = _copied(docs, [F.struct(*docs.columns).alias("_whole")], **how).where("copies > 0")
+    return rows.select("_whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_whole.*")
