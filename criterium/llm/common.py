@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,25 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
             empty()
 
 
+def lean(work: Callable) -> Callable:
+    """``work`` of mapInArrow, which gives the memory that it freed back to the machine when a task ends: workers wait for later stages."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _release()
+
+    return run
+
+
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of this machine if all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -94,6 +117,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str
         F.col("_part").alias("_in"),
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
+    runs = small(settled(runs))
     match = rows["_part"] == runs["_in"]
     for g in group:
         match = match & same(rows[g], runs[f"_{g}"])

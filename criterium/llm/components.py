@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from criterium.llm.common import settled
+from criterium.llm.common import lean, settled
 
 #: Rows that one task takes of a table of links.
 ROWS = 500_000
@@ -53,7 +53,7 @@ def contracted(links: DataFrame) -> DataFrame:
         if len(a):
             yield pa.record_batch([a, b], names=["a", "b"])
 
-    return links.select("a", "b").mapInArrow(stars, "a long, b long")
+    return links.select("a", "b").mapInArrow(lean(stars), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

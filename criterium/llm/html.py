@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from criterium.llm.common import BROADCAST_ROWS, claim, settled, small
+from criterium.llm.common import BROADCAST_ROWS, claim, lean, settled, small
 from criterium.llm.shingles import run_hashes, spaced_hashes
 
 RUN, WINDOW = 8, 8
@@ -287,7 +287,7 @@ def _counted(pages: DataFrame, places) -> DataFrame:
         if held:
             yield pa.record_batch(combined(), names=["host", "run", "n"])
 
-    counts = pages.select(*names).mapInArrow(count, "host long, run long, n double").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    counts = pages.select(*names).mapInArrow(lean(count), "host long, run long, n double").groupBy("host", "run").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") > OPEN_PAGES - 0.01)
 
 
@@ -336,5 +336,5 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [cleaned(blocks_of(page.as_py()), _array(a.as_py()), _array(b.as_py())) for page, a, b in zip(*(batch.column(k) for k in range(2, 5)))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    found = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "open_runs", "content_runs").mapInArrow(clean, "page_id long, url string, text string")
+    found = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "open_runs", "content_runs").mapInArrow(lean(clean), "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from criterium.llm.common import lean
+
 MAGIC = b"IDPACK01"
 TAIL = "<8sIIQQQ"
 BLOCK = 4096
@@ -158,7 +160,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_i
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     index, start = [], 0
-    for r in sorted(rows.mapInArrow(shard, "part long, name string, docs long, ids long").collect()):
+    for r in sorted(rows.mapInArrow(lean(shard), "part long, name string, docs long, ids long").collect()):
         index.append({"name": r["name"], "docs": r["docs"], "ids": r["ids"], "start": start})
         start += r["ids"]
     fs, folder = file_system(path)
@@ -192,4 +194,4 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                         yield pa.record_batch([list(c) for c in zip(*rows)], schema=DIGEST)
 
     listed = spark.createDataFrame([(s["name"], s["start"]) for s in shards], "name string, start long")
-    return listed.repartition(max(1, len(shards)), "name").mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(max(1, len(shards)), "name").mapInArrow(lean(digests), "doc_id long, start long, n_tokens long, ids_crc32 long")

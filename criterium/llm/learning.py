@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from criterium.llm.common import claim
+from criterium.llm.common import claim, lean
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
@@ -73,7 +73,7 @@ def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.n
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], schema=SCORED)
 
     rows = docs.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
@@ -90,4 +90,4 @@ def keep_scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], np.n
                 scores = score([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(keep(scores)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

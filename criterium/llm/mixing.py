@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from criterium.llm.common import ranked, same
+from criterium.llm.common import ranked, same, settled, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,7 +58,7 @@ def _copied(docs: DataFrame, row: list[Column], *, weights: list[int] | None = N
     rows = ranked(rows, ["source"], ["size", "_key", "doc_id", "_at"])
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights or [5, 2, 1], budget, cap).withColumnRenamed("source", "_source")
-    rows = rows.join(targets, same(F.col("source"), F.col("_source")))
+    rows = rows.join(small(settled(targets)), same(F.col("source"), F.col("_source")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     begin = F.floor(offset(F.col("source"), seed) + F.col("rank") * each)
     end = F.floor(offset(F.col("source"), seed) + (F.col("rank") + 1) * each)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from criterium.llm.common import claim, fresh_path, remove, same, settled, small, unused
+from criterium.llm.common import claim, fresh_path, lean, remove, same, settled, small, unused
 from criterium.llm.components import components
 from criterium.llm.shingles import Weights, frequent_shingles, shingles
 
@@ -45,9 +45,9 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 5
 LIKELY = 0.66
 #: Texts and shingles of a block.
-BLOCK, GRAMS = 1000, 2_000_000
+BLOCK, GRAMS = 1000, 1_000_000
 #: Columns of a slice of the shingle matrix of a block; texts whose signatures a task remembers.
-COLUMNS, SEEN = 4096, 200_000
+COLUMNS, SEEN = 2048, 200_000
 
 
 class Sampler:
@@ -126,7 +126,7 @@ def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
         if nodes:
             yield signed()
 
-    return texts.select("node", "text").mapInArrow(sign, "node long, bands array<long>, marks binary, weight double, grams long").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(lean(sign), "node long, bands array<long>, marks binary, weight double, grams long").dropDuplicates(["node"])
 
 
 class Groups:
@@ -236,7 +236,7 @@ def links_of_blocks(rows: DataFrame, payload: str, near) -> DataFrame:
         if found:
             yield _pairs(found)
 
-    return rows.mapInArrow(link, "a long, b long")
+    return rows.mapInArrow(lean(link), "a long, b long")
 
 
 def likely_links(rows: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from criterium.llm.common import claim
+from criterium.llm.common import claim, lean
 
 TREES, FIRST, LATER, REACH, BLOCK = 128, 64, 8, 0.25, 16_384
 #: Rows that trees hold together at least; a block of so few that they are never reached is read whole.
@@ -155,7 +155,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, reach: float =
                     codes = np.ascontiguousarray(strings(q, np.zeros(len(q))).T)
                     yield pa.record_batch([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["dim", "vec_id", "x", "codes"])
 
-    queries = rows.where("asks").dropDuplicates(["vec_id", "dim"]).select("dim", "vec_id", "x").mapInArrow(hashed, "dim int, vec_id long, x array<double>, codes binary")
+    queries = rows.where("asks").dropDuplicates(["vec_id", "dim"]).select("dim", "vec_id", "x").mapInArrow(lean(hashed), "dim int, vec_id long, x array<double>, codes binary")
     queries = queries.join(shape, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "x", "longest", "codes")
     data = rows.join(shape, "dim").select("dim", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "x", "longest", F.lit(None).cast("binary").alias("codes"))
 
@@ -186,6 +186,6 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, reach: float =
                             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found), FOUND)], schema=FOUND)
 
     both = data.unionByName(queries).repartition("dim", "block").sortWithinPartitions("dim", "block", "kind", "vec_id")
-    found = both.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = both.mapInArrow(lean(search), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from criterium.llm.common import claim, ranked, settled
+from criterium.llm.common import claim, lean, ranked, settled
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = Non
             if rows:
                 yield pa.record_batch([list(c) for c in zip(*rows)], schema=PIECE)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut_up, ddl(PIECE))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(cut_up), ddl(PIECE))
 
 
 def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
@@ -152,4 +152,4 @@ def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None,
                 offsets.append(offset + (rank - ranks[k]) % each * length)
             yield pa.record_batch([*(batch.column(f.name) for f in PIECE), sequences, offsets], schema=PLACED)
 
-    return cuts.mapInArrow(place, ddl(PLACED))
+    return cuts.mapInArrow(lean(place), ddl(PLACED))

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from criterium.llm.common import lean
+
 WORDS = 5
 #: Shingles on more than this share of all documents weigh less; none weighs less than ``FLOOR`` of a rare one.
 FREQUENT, FLOOR = 0.01, 0.5
@@ -195,9 +197,9 @@ def _candidates(texts: DataFrame, n: int, counters: int) -> np.ndarray:
         if len(summary.keys):
             yield summary.row()
 
-    rows = texts.select("text").mapInArrow(name, SUMMARY)
+    rows = texts.select("text").mapInArrow(lean(name), SUMMARY)
     for parts in (64, 1):  # each is smaller than the counters, so these tasks are bounded
-        rows = rows.repartition(parts).mapInArrow(_merge(counters), SUMMARY)
+        rows = rows.repartition(parts).mapInArrow(lean(_merge(counters)), SUMMARY)
     found = rows.first()
     if found is None:
         return np.empty(0, U)
@@ -230,5 +232,5 @@ def frequent_shingles(texts: DataFrame, n: int) -> dict[int, int]:
         if hit.any():
             yield pa.record_batch([named[hit].view(np.int64), counts[hit]], names=["shingle", "n"])
 
-    counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT * n)
+    counts = texts.select("text").mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT * n)
     return {r["shingle"] % 2**64: r["n"] for r in counts.toLocalIterator()}
