@@ -16,28 +16,31 @@ def majority(records: DataFrame) -> DataFrame:
     return records.groupBy("arm", *CRITERION).agg((2 * F.count_if("passed") > F.count(F.lit(1))).alias("passed"))
 
 
-def against_base(votes: DataFrame, base: str = "0") -> DataFrame:
-    """Per cause, prompt and criterion of the base arm, its verdict and every arm's, as ``base`` and a map ``arms``: one shuffle, no self-join."""
-    rows = votes.groupBy(*CRITERION).agg(
-        F.max(F.when(F.col("arm") == base, F.col("passed"))).alias("base"), F.map_from_entries(F.collect_list(F.struct("arm", "passed"))).alias("arms")
-    )
-    return rows.where("base is not null")
-
-
 def recovery(votes: DataFrame, arms: list[str], base: str = "0", by: list[str] | None = None) -> DataFrame:
     """Per arm and group: what the base arm failed and this arm recovered, what it passed and this arm broke.
 
-    An arm without a row recovers nothing and breaks nothing.
+    An arm without a row recovers nothing and breaks nothing. The arms are columns of one hash aggregation, not a self-join.
     """
     by = by or ["cause"]
-    rows = against_base(votes, base).select(*by, "base", F.explode(F.array(*map(F.lit, arms))).alias("arm"), "arms")
-    own = F.element_at("arms", F.col("arm"))
+    of = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("passed")))
+    rows = votes.groupBy(*CRITERION).agg(of(base).alias("base"), *(of(a).alias(f"arm_{k}") for k, a in enumerate(arms))).where("base is not null")
+    rows = rows.select(*by, "base", F.inline(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"arm_{k}").alias("own")) for k, a in enumerate(arms)))))
     return rows.groupBy("arm", *by).agg(
-        F.count_if(~F.col("base")).alias("failed"), F.count_if(~F.col("base") & F.coalesce(own, F.lit(False))).alias("recovered"),
-        F.count_if("base").alias("held"), F.count_if(F.col("base") & (own == F.lit(False))).alias("broken"),
+        F.count_if(~F.col("base")).alias("failed"), F.count_if(~F.col("base") & F.coalesce("own", F.lit(False))).alias("recovered"),
+        F.count_if("base").alias("held"), F.count_if(F.col("base") & (F.col("own") == F.lit(False))).alias("broken"),
     )
 
 
+def decode_rates(records: DataFrame) -> DataFrame:
+    """The share of single decodes that pass, per arm and cause."""
+    return records.groupBy("arm", "cause").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("rate"))
+
+
+def false_recovery(spot_checks: DataFrame, false: Column, by: str = "cause") -> DataFrame:
+    """Per group, recoveries that were looked at, and the share that was none."""
+    return spot_checks.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(false).alias("false"), F.round(F.avg(false.cast("int")), 6).alias("rate"))
+
+
 def rates(counts: DataFrame) -> DataFrame:
     """Recovery, breakage and the net of :func:`recovery`; null without a denominator."""
     return (

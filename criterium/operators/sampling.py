@@ -63,27 +63,39 @@ def drop_exact_duplicates(df: DataFrame, text: str, order: str) -> DataFrame:
     return rows.select("first.*", "dropped").select(*df.columns, "dropped")
 
 
-def greedy_selection(records: list[dict], n: int, seed: int) -> list[str]:
-    """Ids of a seeded stratified selection, in file order, on the driver: ``records`` is the prompt list of a run.
-
-    Strata (use_case) take turns, the largest first; within a stratum a record with an instruction type
-    or prompt style not yet covered comes first, in hashed order.
+def half_each(df: DataFrame, group: str, key: str, names: tuple[str, str], n: int, seed: int) -> DataFrame:
+    """n keys: the first n / 2 of either group in hashed order, keys of both once, then the first of all others until there are n."""
+    halves = stratified(df.where(F.col(group).isin(*names)).select(group, key).distinct(), [group], [key], n // 2, seed).select(key).distinct()
+    others = sample(df.select(key).distinct().join(halves, key, "left_anti"), [key], n, seed)  # at most n rows
+    place = F.row_number().over(Window.orderBy("draw", key))
+    short = halves.agg((F.lit(n) - F.count(F.lit(1))).alias("short"))  # one row
+    more = others.withColumn("place", place).crossJoin(F.broadcast(short)).where("place <= short")
+    return halves.withColumn("topped_up", F.lit(False)).unionByName(more.select(key, F.lit(True).alias("topped_up")))
+
+
+def covering(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """n of the rows (id, use_case, instruction_type, prompt_style): use cases take turns, the largest first, and each turn prefers what is new.
+
+    A turn looks for a row whose type and style have both not been chosen yet, else one of them, else any,
+    first in hashed order. Only the first n rows of each (use case, type, style) can ever be chosen, so no
+    more than those, as bare keys, are planned on the driver.
     """
-    from hashlib import md5
-
-    if n >= len(records):
-        return [r["id"] for r in records]
-    strata: dict[str, list[dict]] = {}
-    for r in sorted(records, key=lambda r: md5(f"{seed}:{r['id']}".encode()).hexdigest()):
-        strata.setdefault(r["use_case"], []).append(r)
-    order = sorted(strata, key=lambda s: (-len(strata[s]), s))
-    types, styles, chosen = set(), set(), set()
-    while len(chosen) < n:
-        for s in order:
-            if strata[s] and len(chosen) < n:
-                gain = [(r["instruction_type"] not in types) + (r["prompt_style"] not in styles) for r in strata[s]]
-                pick = strata[s].pop(gain.index(max(gain)))
-                types.add(pick["instruction_type"])
-                styles.add(pick["prompt_style"])
-                chosen.add(pick["id"])
-    return [r["id"] for r in records if r["id"] in chosen]
+    kind = ["use_case", "instruction_type", "prompt_style"]
+    heads = stratified(df.select("id", *kind), kind, ["id"], n, seed).withColumn("draw", key_of(seed, "id")).drop("place")
+    sizes = {r["use_case"]: r["count"] for r in df.groupBy("use_case").count().collect()}
+    queues: dict[str, dict[tuple, list]] = {}
+    for r in heads.orderBy(F.col("draw").desc(), F.col("id").desc()).collect():
+        queues.setdefault(r["use_case"], {}).setdefault((r["instruction_type"], r["prompt_style"]), []).append((r["draw"], r["id"]))
+    covered: tuple[set, set] = (set(), set())
+    picked: list = []
+    turns = sorted(sizes, key=lambda u: (-sizes[u], u))
+    while len(picked) < min(n, sum(sizes.values())):
+        for use in turns:
+            open_kinds = [k for k, q in queues[use].items() if q]
+            if open_kinds and len(picked) < n:
+                best = min(open_kinds, key=lambda k: (sum(v in c for v, c in zip(k, covered)), queues[use][k][-1]))
+                picked.append(queues[use][best].pop()[1])
+                for v, c in zip(best, covered):
+                    c.add(v)
+    chosen = df.sparkSession.createDataFrame([(i,) for i in picked], f"id {df.schema['id'].dataType.simpleString()}")
+    return df.join(F.broadcast(chosen), "id", "left_semi")  # n keys

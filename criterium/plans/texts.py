@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from criterium.functions import text as T
 from criterium.functions import verifiers as V
 from criterium.operators import contamination, loops, normalise, sampling
-from criterium.plans.catalog import query
+from criterium.plans.catalog import ORACLE_SQL, query
 from criterium.plans.derive import table
 from criterium.sources import readers
 
@@ -78,13 +78,9 @@ def contamination_13gram(spark, d):
     return contamination.contaminated(docs(spark, d), table(spark, d, "benchmark"), "doc_id", 13)
 
 
-def _plain(sql):
-    from criterium.plans.catalog import ORACLE_SQL
-
-    return ORACLE_SQL.__setitem__
-
-
-_plain("")("contamination_13gram", f"""SELECT d.doc_id, count(*) AS shared FROM ({GRAMS.format(key='doc_id', table='documents')}) AS d JOIN (SELECT DISTINCT gram FROM ({GRAMS.format(key='item_id', table='benchmark')}) AS z) AS b USING (gram) GROUP BY d.doc_id""")
+# plain SQL: its braces are no table names
+ORACLE_SQL["contamination_13gram"] = f"""SELECT d.doc_id, count(*) AS shared FROM ({GRAMS.format(key='doc_id', table='documents')}) AS d
+JOIN (SELECT DISTINCT gram FROM ({GRAMS.format(key='item_id', table='benchmark')}) AS z) AS b USING (gram) GROUP BY d.doc_id"""
 
 
 LOOPS = """WITH t AS (SELECT doc_id, text, right(text, 4000) AS tail FROM documents WHERE length(right(text, 4000)) >= 80),
