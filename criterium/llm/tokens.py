@@ -21,6 +21,8 @@ from criterium.llm.common import claim
 
 CHUNK = re.compile(r"\s*[^\W_]+|\s*\S+|\s+")
 #: Characters whose class Python and the tokenizer may see differently: texts that hold them are encoded whole.
+#: What may follow a word, and is a chunk of its own.
+MARKS = (".", ",", ";", ":", "!", "?")
 CONTROLS = "\x1c\x1d\x1e\x1f"
 ODD = re.compile(f"[{CONTROLS}\U00010000-\U0010ffff]")
 OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -54,6 +56,8 @@ class _Chunks(dict):
         self.word = word
 
     def __missing__(self, key: str) -> bytes:
+        if self.word and key[-1:] in MARKS and key[:-1].isalpha():  # put together each time: the room is for words
+            return self[key[:-1]] + self.bare[key[-1]]
         ids = self.old.get(key)
         if ids is None and self.word and key.isascii() and key.isalpha():
             ids = packed([t.id for t in self.word("\u0120" + key)])
