@@ -15,6 +15,8 @@ follows itself; an empty table gives no rows; other columns are left aside.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,23 +68,35 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text -> also next_text, the text after it in order of doc_id (after the last: the first).
 
-    One shuffle of the texts, by ranges of doc_id; the head of each range, one row a range, goes to
-    the end of the range before it.
+    One shuffle of the texts, by ranges of doc_id; the head of each range, one row a range, is also
+    sent to the end of the range before it, by that shuffle. Only numbers are broadcast, one row a range.
     """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    text = F.coalesce("text", F.lit(""))
     cuts = docs.agg(F.percentile_approx(at, F.array(*(F.lit(k / n) for k in range(1, n))) if n > 1 else F.array(F.lit(0.5)), F.lit(max(1000, 10 * n)))).first()[0] or []
-    bounds = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size(F.filter(bounds, lambda b: b < at)).alias("_range"))
-    order = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumn("_next", F.lead("text").over(order)).withColumn("_last", F.lead(F.lit(1)).over(order).isNull())
-
-    first = docs.groupBy(F.size(F.filter(bounds, lambda b: b < at)).alias("_range")).agg(F.min(at).alias("_id"))
-    heads = docs.select(at.alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(first), "_id").groupBy("_range").agg(F.min("text").alias("_head"))
+    in_range = places_below(sorted(set(cuts)), at)
     by_range = Window.orderBy("_range")  # one row for each of at most n ranges
-    heads = heads.withColumn("_for", F.coalesce(F.lag("_range").over(by_range), F.max("_range").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    rows = rows.join(F.broadcast(heads.select("_for", "_head")), F.col("_last") & (F.col("_range") == F.col("_for")), "left")
-    return rows.select("doc_id", "text", "_range", F.when(F.col("_last"), F.col("_head")).otherwise(F.col("_next")).alias("next_text"), "_last")
+    all_ranges = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = docs.groupBy(in_range.alias("_range")).agg(F.min(at).alias("_id"))
+    first = first.select("_id", F.coalesce(F.lag("_range").over(by_range), F.max("_range").over(all_ranges)).alias("_range"))
+    heads = docs.select(at.alias("_id"), text.alias("text")).join(F.broadcast(first), "_id").groupBy("_range").agg(F.min("text").alias("text"))
+
+    rows = docs.select("doc_id", text.alias("text"), in_range.alias("_range"), F.lit(False).alias("_head"))
+    rows = rows.unionByName(heads.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", "_range", F.lit(True).alias("_head")))
+    order = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").asc_nulls_first(), "text")
+    return rows.withColumn("next_text", F.lead("text").over(order)).where(~F.col("_head")).select("doc_id", "text", "next_text")
+
+
+def places_below(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are below the value: whole blocks of bounds first, then within the next block."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    longs = lambda b: F.array(*(F.lit(x).cast("long") for x in b)).cast("array<long>")
+    below = lambda b: F.size(F.filter(b, lambda x: x < value))
+    whole = below(longs(bounds[step - 1 :: step])) * step
+    return whole + below(F.slice(longs(bounds), whole + 1, F.lit(step)))
 
 
 def compare(docs: DataFrame) -> DataFrame:
