@@ -19,9 +19,33 @@ def draws(spark: SparkSession, clusters: DataFrame, n_boot: int, seed: int) -> D
     return rows.select("draw", (at % max(n, 1)).alias("unit"))
 
 
+#: Keys that are read to cut the clusters into parts, and the parts.
+SAMPLE, PARTS = 4096, 256
+
+
+def places_below(bounds: list, value: Column) -> Column:
+    """How many of the ascending bounds are below the value: whole sixteens of them first, then those of the next sixteen."""
+    below = lambda marks: F.size(F.filter(marks, lambda b: b < value))
+    marks, ends = (F.array(*(F.lit(b) for b in bs)) for bs in (bounds, bounds[15::16]))
+    whole = below(ends) * 16 if len(bounds) >= 16 else F.lit(0)
+    return whole + below(F.slice(marks, whole + 1, F.lit(16))) if bounds else F.lit(0)
+
+
 def numbered(clusters: DataFrame, key: str) -> DataFrame:
-    """``unit`` from 0 in order of the key; one small row a cluster."""
-    return clusters.withColumn("unit", F.row_number().over(Window.orderBy(key)) - 1)
+    """``unit`` from 0 in order of the key, which no two clusters share.
+
+    The first ``SAMPLE`` keys in hashed order cut the clusters into at most ``PARTS`` parts in order; clusters are
+    numbered within a part, and the parts' sizes supply the rest.
+    """
+    sample = sorted(r[0] for r in clusters.where(F.col(key).isNotNull()).select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(SAMPLE).collect())
+    bounds = sample[:: max(1, len(sample) // PARTS)]
+    part = places_below(bounds, F.col(key))
+    rows = clusters.withColumn("_part", F.coalesce(part, F.lit(0)))
+    sizes = rows.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
+    return rows.join(F.broadcast(sizes), F.col("_part") == F.col("_p")).select(*clusters.columns, (F.col("_place") + F.col("_before")).alias("unit"))
 
 
 def resampled_sums(clusters: DataFrame, key: str, sums: list[str], n_boot: int, seed: int) -> DataFrame:

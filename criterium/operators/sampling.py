@@ -28,6 +28,26 @@ def stratified(df: DataFrame, stratum: list[str], keys: list[str], quota: Column
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota)
 
 
+def hashed_places(df: DataFrame, stratum: list[str], keys: list[str], seed: int, place: str, total: str | None = None) -> DataFrame:
+    """Every row's ``place`` from 1 within its stratum in hashed order, and the stratum's size.
+
+    A hash's first three digits cut a stratum into 4,096 even parts in order; rows are ranked within a part and
+    the parts' sizes, at most 4,096 rows a stratum, supply the rest. A hot stratum so spreads over many tasks.
+    """
+    rows = df.withColumn("_draw", key_of(seed, *keys)).withColumn("_part", F.left("_draw", F.lit(3)))
+    parts = rows.groupBy(*stratum, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy(*stratum)
+    before = within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(within).alias("_total")]
+    parts = parts.select(*(F.col(s).alias(f"_s{i}") for i, s in enumerate(stratum)), F.col("_part").alias("_p"), *sums)
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*stratum, "_part").orderBy("_draw", *keys)))
+    match = F.col("_part") == F.col("_p")
+    for i, s in enumerate(stratum):
+        match = match & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    found = [(F.col("_place") + F.col("_before")).alias(place)] + ([F.col("_total").alias(total)] if total else [])
+    return rows.join(parts, match).select(*df.columns, *found)
+
+
 def proportional(df: DataFrame, stratum: str, keys: list[str], n: int, seed: int) -> DataFrame:
     """n rows spread evenly over the strata: each gets n div strata, the first n mod strata by name one more."""
     names = df.select(stratum).distinct()
@@ -35,25 +55,33 @@ def proportional(df: DataFrame, stratum: str, keys: list[str], n: int, seed: int
     size = F.count(F.lit(1)).over(Window.partitionBy())
     quotas = names.select(F.col(stratum).alias("_s"), (F.floor(F.lit(n) / size) + (F.row_number().over(order) <= F.lit(n) % size).cast("int")).alias("quota"))
     rows = df.join(quotas, F.col(stratum).eqNullSafe(F.col("_s")))
-    return stratified(rows, [stratum], keys, F.col("quota"), seed).drop("_s", "quota")
+    return stratified(rows, [stratum], keys, n, seed).where("place <= quota").drop("_s", "quota")  # tasks send n rows a stratum at most
 
 
 def parity(df: DataFrame, group: str, keys: list[str], seed: int) -> DataFrame:
     """As many rows of each group as the smallest has."""
     least = df.groupBy(group).count().agg(F.min("count").alias("least"))
-    return stratified(df.crossJoin(F.broadcast(least)), [group], keys, F.col("least"), seed).drop("least")  # one row
+    return hashed_places(df, [group], keys, seed, "place").crossJoin(F.broadcast(least)).where("place <= least").drop("least")  # one row
 
 
 def round_robin(df: DataFrame, stratum: str, keys: list[str], seed: int) -> DataFrame:
     """Rows with ``turn`` and ``stratum_size``; in order of turn, size descending and name they alternate between strata."""
-    order = Window.partitionBy(stratum).orderBy(key_of(seed, *keys), *keys)
-    return df.withColumn("turn", F.row_number().over(order)).withColumn("stratum_size", F.count(F.lit(1)).over(Window.partitionBy(stratum)))
+    return hashed_places(df, [stratum], keys, seed, "turn", "stratum_size")
 
 
 def split_by_place(df: DataFrame, group: list[str], order: list[str], train: int) -> DataFrame:
-    """The first ``train`` rows of each group are for training, the rest held out."""
+    """The first ``train`` rows of each group are for training, the rest held out; the order identifies a group's rows.
+
+    Only a group's first rows are ranked, of which a task sends ``train`` at most; the last of them is the limit for all.
+    """
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("split", F.when(place <= train, "train").otherwise("holdout"))
+    last = df.select(*group, *order).withColumn("_place", place).where(F.col("_place") <= train)
+    last = last.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(F.max(F.struct(*order)).alias("_last"))
+    match = F.lit(True)
+    for i, g in enumerate(group):
+        match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    split = F.when(F.struct(*order) <= F.col("_last"), "train").otherwise("holdout").alias("split")
+    return df.join(last, match, "left").select(*df.columns, split)
 
 
 def drop_exact_duplicates(df: DataFrame, text: str, order: str) -> DataFrame:
