@@ -145,13 +145,13 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_i
         fs, folder = file_system(path)
         part, name, writer, coder = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.ids", None, encoder(tokenizer)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            texts = (text.as_py() for text in batch.column(1))
+            for doc_id, data in zip(batch.column(0).to_pylist(), coder.encode_all(texts)):
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
                     out = fs.open_output_stream(f"{folder}/{name}")
                     writer = ShardWriter(out, width_of(max(coder.vocabulary, end_id + 1)))
-                ids = np.frombuffer(coder.encode(text.as_py()), "<u4")
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+                writer.add(doc_id, np.append(np.frombuffer(data, "<u4"), np.uint32(end_id)))
         if writer is not None:
             writer.close()
             out.close()

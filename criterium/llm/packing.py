@@ -119,8 +119,9 @@ def pieces(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = Non
         coder, last = encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.encode(text.as_py()) + last
+            texts = (text.as_py() for text in batch.column(1))
+            for doc_id, data in zip(batch.column(0).to_pylist(), coder.encode_all(texts)):
+                ids = data + last
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             if rows:

@@ -36,6 +36,15 @@ def test_white_space_encodes_like_whole_texts():
         assert coder.encode(text) == coder.whole(text), repr(text)
 
 
+def test_groups_encode_like_whole_texts(monkeypatch):
+    rng, coder = random.Random(7), tokens.ChunkEncoder(tokens.default_path(), kept=2000)
+    monkeypatch.setattr(tokens, "GROUP", 200)
+    parts = ["été", "ÿ", "Straße,", "naïve.", "word", "\n", "\n\n", " ", "it's", "don't!", ",,", "a,b", "ª", "Жук", "\t", "日本", "\u00ad", "x2;", "\x1f", "<|endoftext|>", "\U0001f600"]
+    texts = [rng.choice(["", " "]).join(rng.choices(parts[: rng.choice([13, 17, len(parts)])], k=rng.randint(0, 60))) for _ in range(2000)]
+    assert list(coder.encode_all(texts)) == [coder.whole(t) for t in texts]
+    assert list(coder.encode_all([])) == []
+
+
 def test_added_tokens_encode_like_the_library():
     from tokenizers import Tokenizer
 
