@@ -36,9 +36,9 @@ UNUSUAL = re.compile(rf"[^\S \n]|{ODD.pattern}")
 #: Three characters of white space together.
 RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 #: Bytes of a generation of chunks, and what an entry takes besides its letters and ids; longer chunks are not kept.
-KEPT, ENTRY, LONGEST = 96 << 20, 190, 64
+KEPT, ENTRY, LONGEST = 64 << 20, 190, 64
 #: Characters of a group of texts (a longer text is a group of its own), and what marks a text's first chunk, which has no space before it.
-GROUP, FIRST = 4 << 20, "\x1f"
+GROUP, FIRST = 1 << 20, "\x1f"
 
 
 #: Letters below are letters in every version of Unicode that a splitter may follow.
