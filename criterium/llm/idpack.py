@@ -143,7 +143,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_i
         from criterium.llm.tokens import encoder
 
         fs, folder = file_system(path)
-        part, name, writer, coder = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.ids", None, encoder(tokenizer)
+        part, name, writer, coder = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.ids", None, encoder(tokenizer, 96 << 20)
         for batch in batches:
             texts = (text.as_py() for text in batch.column(1))
             for doc_id, data in zip(batch.column(0).to_pylist(), coder.encode_all(texts)):

@@ -38,7 +38,7 @@ RUNS = [a + b + c for a in " \n" for b in " \n" for c in " \n"]
 #: Bytes of a generation of chunks, and what an entry takes besides its letters and ids; longer chunks are not kept.
 KEPT, ENTRY, LONGEST = 64 << 20, 190, 64
 #: Characters of a group of texts (a longer text is a group of its own), and what marks a text's first chunk, which has no space before it.
-GROUP, FIRST = 1 << 20, "\x1f"
+GROUP, FIRST = 4 << 20, "\x1f"
 
 
 #: Letters below are letters in every version of Unicode that a splitter may follow.
@@ -123,10 +123,19 @@ class ChunkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        return next(self.encode_all([text]))
+        ids = self._irregular(text)
+        if ids is None:
+            found, bare, spaced = [], self.bare, self.spaced.__getitem__
+            for k, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                found.extend((bare["\n"], bare[first]) if k and self.word else (bare["\n" + first if k else first],))
+                found.extend(map(spaced, rest))
+            ids = b"".join(found)
+        self._renew()
+        return ids
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """:meth:`encode` of each text, in order."""
+        """:meth:`encode` of each text, in order; faster, and takes the memory of a group besides."""
         group, held = [], 0
         for text in texts:
             if group and held + len(text) > GROUP:
@@ -141,6 +150,9 @@ class ChunkEncoder:
         slow = [self._irregular(text) for text in texts]
         regular = iter(self._joined([text for text, ids in zip(texts, slow) if ids is None]))
         yield from (next(regular) if ids is None else ids for ids in slow)
+        self._renew()
+
+    def _renew(self) -> None:
         if self.bare.bytes + self.spaced.bytes > self.kept:
             self.bare.old, self.spaced.old = {}, {}
             self._turn(self.bare, self.spaced)
@@ -170,12 +182,12 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str, kept: int) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, kept)
 
 
-def encoder(path: str | None = None) -> ChunkEncoder:
+def encoder(path: str | None = None, kept: int = KEPT) -> ChunkEncoder:
     """One encoder for each Python worker, kept from task to task."""
     claim("tokens", _encoder.cache_clear)
-    return _encoder(path or default_path())
+    return _encoder(path or default_path(), kept)
