@@ -71,6 +71,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+def op11_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.expiring import click_windows
+
+    return click_windows(read(spark, sf_dir, "clicks"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_forest, op2_idpack, op3_toxicity, op4_merkle, op5_mix, op6_licenses, op7_pack, op8_near_duplicates, op9_quality, op10_html, pipeline)
+    for f in (op1_forest, op2_idpack, op3_toxicity, op4_merkle, op5_mix, op6_licenses, op7_pack, op8_near_duplicates, op9_quality, op10_html, op11_expiring, pipeline)
 }
 
 ORACLE_SQL = {
