@@ -62,3 +62,18 @@ t AS (SELECT *, {_tree('text')} AS tt, {_tree('edited')} AS te, {_tree('nxt')} A
 f AS (SELECT *, {_print('tt')} AS a, {_print('te')} AS b, {_print('tn')} AS c, {_leaves('tt')} AS a_l, {_leaves('te')} AS b_l, {_leaves('tn')} AS c_l FROM t)
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
        {_near('a', 'b')} AS near_edited, {_near('a', 'c')} AS near_next FROM f"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS every FROM d WHERE len(terms) > 0),
+i AS (SELECT row, item_id, term, CAST(count(*) AS BIGINT) AS times
+      FROM (SELECT row, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS row, item_id, {_TERMS} AS terms FROM benchmark)) GROUP BY ALL),
+p AS (SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d)
+      WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term) CROSS JOIN c),
+s AS (SELECT i.row, i.item_id, p.row AS doc, p.doc_id, CAST(sum(i.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * c.docs) // c.every)))) AS BIGINT) AS score
+      FROM i JOIN p USING (term) JOIN w USING (term) CROSS JOIN c GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""

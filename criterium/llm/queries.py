@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from criterium.llm._oracles import FINGERPRINTS, LICENSES
+from criterium.llm._oracles import FINGERPRINTS, LEXICAL, LICENSES
 from criterium.llm.common import fresh_path, read
 
 
@@ -77,6 +77,12 @@ def op11_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return click_windows(read(spark, sf_dir, "clicks"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.lexical import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,12 +91,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_forest, op2_idpack, op3_toxicity, op4_merkle, op5_mix, op6_licenses, op7_pack, op8_near_duplicates, op9_quality, op10_html, op11_expiring, pipeline)
+    for f in (op1_forest, op2_idpack, op3_toxicity, op4_merkle, op5_mix, op6_licenses, op7_pack, op8_near_duplicates, op9_quality, op10_html, op11_expiring, op12_lexical, pipeline)
 }
 
 ORACLE_SQL = {
     "op4_merkle": FINGERPRINTS,
     "op6_licenses": LICENSES,
+    "op12_lexical": LEXICAL,
     "op5_mix": r"""
 WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
              md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
