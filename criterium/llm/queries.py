@@ -83,6 +83,12 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from criterium.llm.personal import find
+
+    return find(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_forest, op2_idpack, op3_toxicity, op4_merkle, op5_mix, op6_licenses, op7_pack, op8_near_duplicates, op9_quality, op10_html, op11_expiring, op12_lexical, pipeline)
+    for f in (op1_forest, op2_idpack, op3_toxicity, op4_merkle, op5_mix, op6_licenses, op7_pack, op8_near_duplicates, op9_quality, op10_html, op11_expiring, op12_lexical, op13_personal, pipeline)
 }
 
 ORACLE_SQL = {
