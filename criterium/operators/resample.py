@@ -1,69 +1,67 @@
 """Cluster bootstraps over sufficient statistics.
 
-The clusters' statistics (one small row a cluster) are numbered once; draws are rows of ``range`` whose
-cluster comes from ``md5(seed:draw:slot)``, so that any engine repeats them; a join and one aggregation
-give every draw's sums. Nothing is drawn on the driver.
+A draw takes a cluster w times, w from a Poisson distribution of mean 1, which is what drawing as many clusters as
+there are, with replacement, tends to. w comes from 32 of the 128 bits of ``md5(seed:block:key)``, so a cluster's
+weights depend on nothing but its key and any engine repeats them; a hash serves a block of four draws. Every
+cluster adds its statistics times w to all draws where it stands: one aggregation, whose shuffle has a row per
+block of draws and task, whatever the number of clusters. No cluster is numbered, sorted or joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
+import math
 
-def draws(spark: SparkSession, clusters: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """draw, unit: as many units with replacement as there are clusters, for each of ``n_boot`` draws."""
-    n = clusters.count()
-    at = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long")
-    rows = spark.range(n_boot * n).select(F.floor(F.col("id") / max(n, 1)).alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
-    return rows.select("draw", (at % max(n, 1)).alias("unit"))
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+#: Draws that share a hash.
+BLOCK = 4
 
-#: Keys that are read to cut the clusters into parts, and the parts.
-SAMPLE, PARTS = 4096, 256
 
+def poisson_steps() -> list[int]:
+    """At which of the 2**32 values of a hash a weight goes up by one."""
+    steps, below = [], 0.0
+    for k in range(20):
+        below += math.exp(-1) / math.factorial(k)
+        if math.floor(below * 2**32) >= 2**32 or steps and math.floor(below * 2**32) == steps[-1]:
+            break
+        steps.append(math.floor(below * 2**32))
+    return steps
 
-def places_below(bounds: list, value: Column) -> Column:
-    """How many of the ascending bounds are below the value: whole sixteens of them first, then those of the next sixteen."""
-    below = lambda marks: F.size(F.filter(marks, lambda b: b < value))
-    marks, ends = (F.array(*(F.lit(b) for b in bs)) for bs in (bounds, bounds[15::16]))
-    whole = below(ends) * 16 if len(bounds) >= 16 else F.lit(0)
-    return whole + below(F.slice(marks, whole + 1, F.lit(16))) if bounds else F.lit(0)
 
+def weights(seed: Column | int, block: Column, key: Column) -> list[Column]:
+    """The weights of a cluster in the draws of a block."""
+    digest = F.md5(F.concat_ws(":", (seed if isinstance(seed, Column) else F.lit(seed)).cast("string"), block.cast("string"), key.cast("string")))
+    value = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
+    return [sum((F.when(value(k) >= s, 1).otherwise(0) for s in poisson_steps()[1:]), F.when(value(k) >= poisson_steps()[0], 1).otherwise(0)) for k in range(BLOCK)]
 
-def numbered(clusters: DataFrame, key: str) -> DataFrame:
-    """``unit`` from 0 in order of the key, which no two clusters share.
 
-    The first ``SAMPLE`` keys in hashed order cut the clusters into at most ``PARTS`` parts in order; clusters are
-    numbered within a part, and the parts' sizes supply the rest.
-    """
-    sample = sorted(r[0] for r in clusters.where(F.col(key).isNotNull()).select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(SAMPLE).collect())
-    bounds = sample[:: max(1, len(sample) // PARTS)]
-    part = places_below(bounds, F.col(key))
-    rows = clusters.withColumn("_part", F.coalesce(part, F.lit(0)))
-    sizes = rows.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1)
-    return rows.join(F.broadcast(sizes), F.col("_part") == F.col("_p")).select(*clusters.columns, (F.col("_place") + F.col("_before")).alias("unit"))
+def resampled_sums(clusters: DataFrame, key: Column | str, sums: list[str], n_boot: int, seed: Column | int, by: list[str] | None = None) -> DataFrame:
+    """Per group and draw, the sums of the clusters' statistics; ``clusters`` has a row per group and cluster."""
+    by, key = by or [], F.col(key) if isinstance(key, str) else key
+    rows = clusters.select(*by, *sums, key.alias("_key"), (seed if isinstance(seed, Column) else F.lit(seed)).alias("_seed"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BLOCK))).alias("_block"))
+    rows = rows.select(*by, *sums, "_block", F.array(*weights(F.col("_seed"), F.col("_block"), F.col("_key"))).alias("_w"))
+    per_block = rows.groupBy(*by, "_block").agg(*(F.sum(F.col("_w")[k] * F.col(c)).alias(f"_{k}_{c}") for k in range(BLOCK) for c in sums))
+    draws = F.array(*(F.struct((F.col("_block") * BLOCK + k).cast("long").alias("draw"), *(F.col(f"_{k}_{c}").alias(c) for c in sums)) for k in range(BLOCK)))
+    return per_block.select(*by, F.inline(draws)).where(F.col("draw") < n_boot)
 
 
-def resampled_sums(clusters: DataFrame, key: str, sums: list[str], n_boot: int, seed: int) -> DataFrame:
-    """Per draw, the sums of the clusters' statistics."""
-    rows = draws(clusters.sparkSession, clusters, n_boot, seed).join(numbered(clusters, key), "unit")
-    return rows.groupBy("draw").agg(*(F.sum(c).alias(c) for c in sums))
+def cause_table(rows: DataFrame, causes: list[str], key: list[str] | None = None) -> DataFrame:
+    """Per prompt, counts of every cause: the sufficient statistics of shares."""
+    return rows.groupBy(*(key or ["prompt_id"])).agg(*(F.count_if(F.col("root_cause") == c).alias(c) for c in causes))
 
 
-def cause_table(rows: DataFrame, causes: list[str]) -> DataFrame:
-    """Per prompt, counts of every cause: the sufficient statistics of shares."""
-    return rows.groupBy("prompt_id").agg(*(F.count_if(F.col("root_cause") == c).alias(c) for c in causes))
+def shares_of(sums: DataFrame, causes: list[str], by: list[str]) -> DataFrame:
+    """by, draw, root_cause, share; draws without any row are left out."""
+    total = sum((F.col(c) for c in causes), F.lit(0))
+    long = F.inline(F.array(*(F.struct(F.lit(c).alias("root_cause"), (F.col(c) / total).alias("share")) for c in causes)))
+    return sums.where(total > 0).select(*by, "draw", long)
 
 
 def share_samples(rows: DataFrame, causes: list[str], n_boot: int, seed: int) -> DataFrame:
     """draw, root_cause, share."""
-    sums = resampled_sums(cause_table(rows, causes), "prompt_id", causes, n_boot, seed)
-    total = sum((F.col(c) for c in causes), F.lit(0))
-    return sums.select("draw", F.inline(F.array(*(F.struct(F.lit(c).alias("root_cause"), (F.col(c) / total).alias("share")) for c in causes))))
+    return shares_of(resampled_sums(cause_table(rows, causes), "prompt_id", causes, n_boot, seed), causes, [])
 
 
 def interval(samples: DataFrame, by: list[str], value: str, interpolated: bool = False) -> DataFrame:
@@ -79,20 +77,35 @@ def share_intervals(rows: DataFrame, causes: list[str], n_boot: int, seed: int)
     return interval(share_samples(rows, causes, n_boot, seed), ["root_cause"], "share")
 
 
+def difference_samples(left: DataFrame, right: DataFrame) -> DataFrame:
+    """root_cause, difference of two tables of share samples; a cause that one of them lacks is 0 there."""
+    both = left.join(right.withColumnRenamed("share", "other"), ["draw", "root_cause"], "full_outer")
+    return both.select("root_cause", (F.coalesce("share", F.lit(0.0)) - F.coalesce("other", F.lit(0.0))).alias("difference"))
+
+
 def share_difference(a: DataFrame, b: DataFrame, causes: list[str], n_boot: int, seed: int) -> DataFrame:
     """Intervals of the difference of shares; the two cuts are drawn independently, an absent cause is 0."""
-    left = share_samples(a, causes, n_boot, seed)
-    right = share_samples(b, causes, n_boot, seed + 1).withColumnRenamed("share", "other")
-    both = left.join(right, ["draw", "root_cause"], "full_outer")
-    return interval(both.select("root_cause", (F.coalesce("share", F.lit(0.0)) - F.coalesce("other", F.lit(0.0))).alias("difference")), ["root_cause"], "difference")
+    samples = difference_samples(share_samples(a, causes, n_boot, seed), share_samples(b, causes, n_boot, seed + 1))
+    return interval(samples, ["root_cause"], "difference")
 
 
 def statistic_interval(clusters: DataFrame, key: str, sums: list[str], statistic: Column, n_boot: int, seed: int) -> DataFrame:
-    """Interpolated 95 % limits of any expression over resampled sums."""
+    """Interpolated 95 % limits of any expression over resampled sums; draws in which it is null are left out."""
     samples = resampled_sums(clusters, key, sums, n_boot, seed).select(F.lit("all").alias("cut"), statistic.alias("statistic"))
     return interval(samples.where("statistic is not null"), ["cut"], "statistic", interpolated=True)
 
 
+def recovery_intervals(counts: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """arm, cause, prompt_id, failed, recovered -> limits of the recovery rate per arm and cause.
+
+    Every prompt is a cluster of every arm and cause, one stream of weights runs on over all of them, and a draw
+    that takes no failed criterion counts as 0.
+    """
+    stream = F.concat_ws(":", "arm", "cause", F.col("prompt_id").cast("string"))
+    sums = resampled_sums(counts, stream, ["failed", "recovered"], n_boot, seed, ["arm", "cause"])
+    return interval(sums.select("arm", "cause", F.when(F.col("failed") > 0, F.col("recovered") / F.col("failed")).otherwise(0.0).alias("rate")), ["arm", "cause"], "rate")
+
+
 def overlap_rule(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per cause, whether two intervals overlap; an absent one is (0, 0)."""
     left, right = a.select("root_cause", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a")), b.select("root_cause", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))

@@ -99,15 +99,19 @@ def advantage_centering(spark, d):
     return progress.centred(table(spark, d, "events"), ["user_id", "event_type"], "value").select("event_type", "user_id", "event_id", "advantage", "degenerate")
 
 
-DRAW = "SELECT b, CAST('0x' || substr(md5({seed} || ':' || b || ':' || s), 1, 8) AS BIGINT) % n AS unit FROM (SELECT unnest(range({boots})) AS b), (SELECT n, unnest(range(n)) AS s FROM (SELECT count(*) AS n FROM {clusters}))"
 CAUSES = ["A-F", "N-F", "N-O", "R-F"]
 BOOTS, SEED = 50, 7
 
 
+def weight_sql(seed: str, key: str) -> str:
+    """The weight of a cluster in draw ``b``: how many steps of the Poisson distribution its 32 bits have reached."""
+    bits = f"CAST('0x' || substr(md5(concat_ws(':', {seed}, b // {resample.BLOCK}, {key})), (8 * (b % {resample.BLOCK}) + 1)::INT, 8) AS BIGINT)"
+    return f"len(list_filter({resample.poisson_steps()}::BIGINT[], lambda t: t <= {bits}))"
+
+
 def _share_sql(where: str, seed: int) -> str:
-    clusters = f"SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS unit, {', '.join(f'''count(*) FILTER (WHERE root_cause = '{c}') AS "{c}"''' for c in CAUSES)} FROM {{failures}} WHERE {where} GROUP BY prompt_id"
-    draw = f"SELECT b, CAST('0x' || substr(md5('{seed}:' || b || ':' || s), 1, 8) AS BIGINT) % n AS unit FROM (SELECT unnest(range({BOOTS})) AS b) AS x CROSS JOIN (SELECT n, unnest(range(n)) AS s FROM (SELECT count(DISTINCT prompt_id) AS n FROM {{failures}} WHERE {where}) AS y) AS z"
-    sums = f"SELECT b, {', '.join(f'''sum("{c}") AS "{c}"''' for c in CAUSES)} FROM ({draw}) AS w JOIN ({clusters}) AS c USING (unit) GROUP BY b"
+    clusters = f"SELECT prompt_id, {', '.join(f'''count(*) FILTER (WHERE root_cause = '{c}') AS "{c}"''' for c in CAUSES)} FROM {{failures}} WHERE {where} GROUP BY prompt_id"
+    sums = f"SELECT b, {', '.join(f'''sum(w * "{c}") AS "{c}"''' for c in CAUSES)} FROM (SELECT *, {weight_sql(seed, 'prompt_id')} AS w FROM ({clusters}) AS c CROSS JOIN (SELECT unnest(range({BOOTS})) AS b) AS d) AS x GROUP BY b"
     total = " + ".join(f'"{c}"' for c in CAUSES)
     return " UNION ALL ".join(f"""SELECT b, '{c}' AS root_cause, "{c}" / ({total})::DOUBLE AS share FROM ({sums}) AS s""" for c in CAUSES)
 
@@ -129,12 +133,19 @@ def bootstrap_share_difference(spark, d):
     return resample.share_difference(rows.where(_OWN), rows.where(_OTHER), CAUSES, BOOTS, SEED)
 
 
-def _per_prompt() -> str:
-    return f"SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS unit, count(*) FILTER (WHERE arm = 'RA' AND NOT base) AS failed, count(*) FILTER (WHERE arm = 'RA' AND NOT base AND own) AS recovered FROM ({PAIRED.replace('{m}', MAJORITY)}) AS p WHERE cause = 'coverage' GROUP BY prompt_id"
+def _per_prompt(arms: str, cause: str) -> str:
+    return f"SELECT arm, cause, prompt_id, count(*) FILTER (WHERE NOT base) AS failed, count(*) FILTER (WHERE NOT base AND own) AS recovered FROM ({PAIRED.replace('{m}', MAJORITY)}) AS p WHERE arm IN ({arms}) AND {cause} GROUP BY ALL"
 
 
-@query(f"""SELECT 'all' AS cut, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM (SELECT b, sum(recovered) / sum(failed)::DOUBLE AS x FROM
-(SELECT b, CAST('0x' || substr(md5('11:' || b || ':' || s), 1, 8) AS BIGINT) % n AS unit FROM (SELECT unnest(range({BOOTS})) AS b) AS x CROSS JOIN (SELECT n, unnest(range(n)) AS s FROM (SELECT count(*) AS n FROM ({_per_prompt()}) AS q) AS y) AS z) AS w JOIN ({_per_prompt()}) AS c USING (unit) GROUP BY b) AS t""")
+@query(f"""SELECT 'all' AS cut, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM (SELECT b, sum(w * recovered) / sum(w * failed)::DOUBLE AS x FROM
+(SELECT *, {weight_sql('11', 'prompt_id')} AS w FROM ({_per_prompt("'RA'", "cause = 'coverage'")}) AS c CROSS JOIN (SELECT unnest(range({BOOTS})) AS b) AS d) AS w GROUP BY b) AS t""")
 def bootstrap_recovery_ci(spark, d):
     rows = E.recovery(majority(spark, d).where("cause = 'coverage'"), ["RA"], by=["prompt_id"])
     return resample.statistic_interval(rows, "prompt_id", ["failed", "recovered"], F.expr("try_divide(recovered, failed)"), BOOTS, 11)
+
+
+@query(f"""SELECT arm, cause, round({AT.format(v='x', q=0.025)}, 6) AS lo, round({AT.format(v='x', q=0.975)}, 6) AS hi FROM (SELECT arm, cause, b, CASE WHEN sum(w * failed) > 0 THEN sum(w * recovered) / sum(w * failed)::DOUBLE ELSE 0 END AS x FROM
+(SELECT *, {weight_sql('13', "concat_ws(':', arm, cause, prompt_id)")} AS w FROM ({_per_prompt("'SA', 'RA'", "true")}) AS c CROSS JOIN (SELECT unnest(range({BOOTS})) AS b) AS d) AS w GROUP BY arm, cause, b) AS t GROUP BY arm, cause""")
+def bootstrap_recovery_by_arm(spark, d):
+    rows = E.recovery(majority(spark, d), ["SA", "RA"], by=["cause", "prompt_id"])
+    return resample.recovery_intervals(rows, BOOTS, 13)
