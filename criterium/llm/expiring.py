@@ -228,6 +228,10 @@ def closed_windows(records: DataFrame, batch: int, origin: int, buckets: int, *,
 _SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else every store of every start holds some 8 MB of disk for files of a few bytes
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # stores of earlier starts are closed while later ones run
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }
 
