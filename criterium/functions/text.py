@@ -104,11 +104,6 @@ def cell_id(model: Column, prompt: Column) -> Column:
     return F.when(model.contains("__"), F.raise_error(F.lit("model id holds the separator"))).otherwise(F.concat_ws("__", model, prompt))
 
 
-def json_object_candidate(text: Column) -> Column:
-    """From the first ``{`` to the last ``}``."""
-    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-
-
 def short_digest(text: Column) -> Column:
     return F.left(F.sha2(text, 256), F.lit(12))
 
@@ -121,28 +116,3 @@ def duration(seconds: Column) -> Column:
         .when(s >= 60, F.format_string("%dm%02ds", F.floor(s / 60), s % 60))
         .otherwise(F.format_string("%ds", s))
     )
-
-
-def first_json_array(text: str | None) -> str | None:
-    """The first JSON array in noisy text: a fenced block, else the whole, else the first balanced ``[...]`` that parses."""
-    import json
-    import re
-
-    def parses(part: str) -> bool:
-        try:
-            return isinstance(json.loads(part), list)
-        except ValueError:
-            return False
-
-    if text is None:
-        return None
-    for part in [*re.findall(r"```[a-zA-Z]*\s*(.*?)```", text, re.S), text]:
-        if parses(part.strip()):
-            return part.strip()
-    decoder, at = json.JSONDecoder(), text.find("[")
-    while at >= 0:
-        try:
-            return text[at : decoder.raw_decode(text, at)[1]]
-        except ValueError:
-            at = text.find("[", at + 1)
-    return None

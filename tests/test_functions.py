@@ -90,9 +90,6 @@ def test_answers(spark):
     assert value(spark, text.without_reasoning(F.col("t")), t="<think>x</think> y") == " y"
     assert value(spark, text.english_list(F.col("t")), t=["a", "b", "c"]) == "a, b, and c"
     assert value(spark, text.english_list(F.col("t")), t=["a", "b"]) == "a and b"
-    assert text.first_json_array('so: ["]", 1] and [2]') == '["]", 1]'
-    assert text.first_json_array("```json\n[3]\n```") == "[3]"
-    assert text.first_json_array("none [") is None
 
 
 def brute_loop(t):
