@@ -13,6 +13,14 @@ def key_of(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
@@ -34,17 +42,19 @@ def hashed_places(df: DataFrame, stratum: list[str], keys: list[str], seed: int,
     A hash's first three digits cut a stratum into 4,096 even parts in order; rows are ranked within a part and
     the parts' sizes, at most 4,096 rows a stratum, supply the rest. A hot stratum so spreads over many tasks.
     """
-    rows = df.withColumn("_draw", key_of(seed, *keys)).withColumn("_part", F.left("_draw", F.lit(3)))
-    parts = rows.groupBy(*stratum, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    draw, part, at = (unused(df, x) for x in ("_draw", "_part", "_place"))
+    rows = df.withColumn(draw, key_of(seed, *keys)).withColumn(part, F.left(draw, F.lit(3)))
+    parts = rows.groupBy(*stratum, part).agg(F.count(F.lit(1)).alias("_n"))
     within = Window.partitionBy(*stratum)
-    before = within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(within).alias("_total")]
-    parts = parts.select(*(F.col(s).alias(f"_s{i}") for i, s in enumerate(stratum)), F.col("_part").alias("_p"), *sums)
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*stratum, "_part").orderBy("_draw", *keys)))
-    match = F.col("_part") == F.col("_p")
+    before = within.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("before"), F.sum("_n").over(within).alias("total")]
+    parts = parts.select(F.struct(*(F.col(s).alias(f"s{i}") for i, s in enumerate(stratum)), F.col(part).alias("p"), *sums).alias(unused(df, "_parts")))
+    rows = rows.withColumn(at, F.row_number().over(Window.partitionBy(*stratum, part).orderBy(draw, *keys)))
+    other = F.col(unused(df, "_parts"))
+    match = F.col(part) == other["p"]
     for i, s in enumerate(stratum):
-        match = match & F.col(s).eqNullSafe(F.col(f"_s{i}"))
-    found = [(F.col("_place") + F.col("_before")).alias(place)] + ([F.col("_total").alias(total)] if total else [])
+        match = match & F.col(s).eqNullSafe(other[f"s{i}"])
+    found = [(F.col(at) + other["before"]).alias(place)] + ([other["total"].alias(total)] if total else [])
     return rows.join(parts, match).select(*df.columns, *found)
 
 
@@ -101,29 +111,66 @@ def half_each(df: DataFrame, group: str, key: str, names: tuple[str, str], n: in
     return halves.withColumn("topped_up", F.lit(False)).unionByName(more.select(key, F.lit(True).alias("topped_up")))
 
 
-def covering(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """n of the rows (id, use_case, instruction_type, prompt_style): use cases take turns, the largest first, and each turn prefers what is new.
+def turns_of(sizes: dict, n: int) -> dict:
+    """How many of n turns each stratum gets when those with rows left take turns, the largest first, then by name."""
+    out, left = dict.fromkeys(sizes, 0), min(n, sum(sizes.values()))
+    while left:
+        live = [u for u in _turn_order(sizes) if out[u] < sizes[u]]
+        whole = min(left // len(live), min(sizes[u] - out[u] for u in live))
+        for u in live if whole else live[:left]:
+            out[u] += max(1, whole)
+            left -= max(1, whole)
+    return out
+
+
+def _turn_order(sizes: dict) -> list:
+    return sorted(sizes, key=lambda u: (-sizes[u], u is None, u))
+
+
+def covering(df: DataFrame, n: int, seed: int, stratum: str = "use_case", covers: tuple[str, ...] = ("instruction_type", "prompt_style"), key: str = "id") -> DataFrame:
+    """n of the rows, chosen greedily: strata take turns, the largest first, and each turn takes the row that covers most
+    values not yet covered, the first in hashed order among equals.
 
-    A turn looks for a row whose type and style have both not been chosen yet, else one of them, else any,
-    first in hashed order. Only the first n rows of each (use case, type, style) can ever be chosen, so no
-    more than those, as bare keys, are planned on the driver.
+    What a row covers anew only shrinks, so a stratum's best row stays its best as long as its own count of new values
+    stands. An aggregation gives every stratum's best at once; the driver keeps these (a row a stratum) and the values
+    covered, and asks again only when the best of the stratum in turn has lost a value. Rows that cover something new
+    are never taken twice, and there are no more of them than values; all other turns take a stratum's first rows in
+    hashed order, however many, without the driver.
     """
-    kind = ["use_case", "instruction_type", "prompt_style"]
-    heads = stratified(df.select("id", *kind), kind, ["id"], n, seed).withColumn("draw", key_of(seed, "id")).drop("place")
-    sizes = {r["use_case"]: r["count"] for r in df.groupBy("use_case").count().collect()}
-    queues: dict[str, dict[tuple, list]] = {}
-    for r in heads.orderBy(F.col("draw").desc(), F.col("id").desc()).collect():
-        queues.setdefault(r["use_case"], {}).setdefault((r["instruction_type"], r["prompt_style"]), []).append((r["draw"], r["id"]))
-    covered: tuple[set, set] = (set(), set())
-    picked: list = []
-    turns = sorted(sizes, key=lambda u: (-sizes[u], u))
-    while len(picked) < min(n, sum(sizes.values())):
-        for use in turns:
-            open_kinds = [k for k, q in queues[use].items() if q]
-            if open_kinds and len(picked) < n:
-                best = min(open_kinds, key=lambda k: (sum(v in c for v, c in zip(k, covered)), queues[use][k][-1]))
-                picked.append(queues[use][best].pop()[1])
-                for v, c in zip(best, covered):
-                    c.add(v)
-    chosen = df.sparkSession.createDataFrame([(i,) for i in picked], f"id {df.schema['id'].dataType.simpleString()}")
-    return df.join(F.broadcast(chosen), "id", "left_semi")  # n keys
+    draw = unused(df, "_draw")
+    rows = df.withColumn(draw, key_of(seed, key))
+    kinds = rows.groupBy(stratum, *covers).agg(F.min(F.struct(draw, key)).alias("head"), F.count(F.lit(1)).alias("rows"))
+    sizes = {r[stratum]: r["rows"] for r in kinds.groupBy(stratum).agg(F.sum("rows").alias("rows")).collect()}  # a row a stratum
+    turns = turns_of(sizes, n)
+    seen: tuple[set, ...] = tuple(set() for _ in covers)
+
+    def fresh(values) -> int:
+        return sum(v not in s for v, s in zip(values, seen))
+
+    def ask() -> dict:
+        new = sum((F.when(F.col(c).isNull(), F.lit(int(None not in s))).otherwise((~F.col(c).isin([v for v in s if v is not None])).cast("int")) for c, s in zip(covers, seen)), F.lit(0))
+        best = kinds.where(new > 0).groupBy(stratum).agg(F.min_by(F.struct(new.alias("new"), "head", *covers), F.struct(-new, "head")).alias("best"))
+        return {r[stratum]: r["best"] for r in best.collect()}
+
+    best, taken, turn = ask() if n > 0 else {}, [], 0
+    while best:
+        for u in _turn_order(sizes):
+            if u in best and turn < turns[u]:
+                if fresh([best[u][c] for c in covers]) < best[u]["new"]:
+                    best = ask()
+                if u in best:
+                    taken.append((u, best[u]["head"][key]))
+                    for c, s in zip(covers, seen):
+                        s.add(best[u][c])
+        turn += 1
+        best = {u: b for u, b in best.items() if turn < turns[u]}
+    spark = df.sparkSession
+    covering_rows = spark.createDataFrame([(k,) for _, k in taken], f"_k {df.schema[key].dataType.simpleString()}")  # no more than values
+    left = [(u, t - sum(v == u for v, _ in taken)) for u, t in turns.items()]
+    quotas = spark.createDataFrame(left, f"_s {df.schema[stratum].dataType.simpleString()}, _left int")  # a row a stratum
+    first = rows.join(F.broadcast(covering_rows), F.col(key) == F.col("_k"), "left_semi")
+    others = rows.join(F.broadcast(covering_rows), F.col(key) == F.col("_k"), "left_anti").join(F.broadcast(quotas), F.col(stratum).eqNullSafe(F.col("_s")))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(draw, key))
+    most = max((q for _, q in left), default=0)
+    rest = others.withColumn("_place", place).where((F.col("_place") <= most) & (F.col("_place") <= F.col("_left")))  # tasks send so many rows a stratum at most
+    return first.select(*df.columns).unionByName(rest.select(*df.columns))

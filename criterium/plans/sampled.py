@@ -53,6 +53,24 @@ def train_holdout_split(spark, d):
     return S.split_by_place(docs(spark, d).select("doc_id", "lang"), ["lang"], ["doc_id"], 100)
 
 
+COVERED = 30
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT prompt_id, use_case AS u, instruction_type AS t, prompt_style AS s, md5('6:' || prompt_id) AS draw FROM {{prompts}}),
+z AS (SELECT u, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, u) - 1 AS o, count(*) OVER () AS strata FROM p GROUP BY u),
+h AS (SELECT u, t, s, min(draw) AS draw, arg_min(prompt_id, (draw, prompt_id)) AS prompt_id FROM p GROUP BY ALL),
+g AS (SELECT 0 AS turn, []::VARCHAR[] AS types, []::VARCHAR[] AS styles, []::BIGINT[] AS ids
+UNION ALL SELECT turn + 1, CASE WHEN new > 0 THEN list_append(types, b.t) ELSE types END, CASE WHEN new > 0 THEN list_append(styles, b.s) ELSE styles END, CASE WHEN new > 0 THEN list_append(ids, b.prompt_id) ELSE ids END
+FROM (SELECT turn, types, styles, ids, max((NOT list_contains(types, h.t))::INT + (NOT list_contains(styles, h.s))::INT) AS new,
+  arg_min(h, (-(NOT list_contains(types, h.t))::INT - (NOT list_contains(styles, h.s))::INT, h.draw, h.prompt_id)) AS b
+  FROM g JOIN z ON z.o = g.turn % z.strata JOIN h ON h.u = z.u WHERE turn < {COVERED} GROUP BY turn, types, styles, ids) AS x),
+c AS (SELECT unnest(ids) AS prompt_id FROM g WHERE turn = {COVERED}),
+q AS (SELECT z.u, {COVERED} // strata + (o < {COVERED} % strata)::INT - (SELECT count(*) FROM p WHERE p.u = z.u AND prompt_id IN (SELECT prompt_id FROM c)) AS quota FROM z)
+SELECT prompt_id FROM c UNION ALL SELECT prompt_id FROM (SELECT prompt_id, quota, row_number() OVER (PARTITION BY u ORDER BY draw, prompt_id) AS place FROM p JOIN q USING (u) WHERE prompt_id NOT IN (SELECT prompt_id FROM c)) AS y WHERE place <= quota""")
+def covering_selection(spark, d):
+    return S.covering(table(spark, d, "prompts"), COVERED, 6, key="prompt_id").select("prompt_id")
+
+
 @query("SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_acctbal + 1 FROM customer WHERE c_custkey % 3 = 0")
 def index_upsert(spark, d):
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))

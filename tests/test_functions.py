@@ -160,6 +160,33 @@ def test_covering_selection(spark):
     for n in (1, 7, 24, 200):
         got = sorted(r["id"] for r in sampling.covering(df, n, 4).collect())
         assert got == one_by_one(n) and len({kinds[i][2] for i in got}) == min(n, 6)
+    assert sampling.covering(df, 0, 4).count() == sampling.covering(df.limit(0), 5, 4).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_covering_of_many_values_and_nulls(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, rng.choice([None, "a", "b", "b", "c"]), rng.choice([None, *range(30)]), rng.choice([None, *"pqrstuvw"])) for k in range(120)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "id long, use_case string, instruction_type int, prompt_style string, _draw string, _place int")
+    sizes = Counter(r[1] for r in rows)
+    for n in (3, 40, 119):
+        left, seen, out = sorted(rows, key=lambda r: md5(f"9:{r[0]}".encode()).hexdigest()), (set(), set()), []
+        while len(out) < n:
+            for use in sorted(sizes, key=lambda u: (-sizes[u], u is None, u or "")):
+                own = [r for r in left if r[1] == use]
+                if own and len(out) < n:
+                    best = max(own, key=lambda r: (r[2] not in seen[0]) + (r[3] not in seen[1]))
+                    left.remove(best)
+                    seen[0].add(best[2])
+                    seen[1].add(best[3])
+                    out.append(best[0])
+        got = sampling.covering(df.repartition(3), n, 9)
+        assert sorted(r["id"] for r in got.collect()) == sorted(out) and got.columns == df.columns
+
+
+def test_turns():
+    assert sampling.turns_of({"a": 5, "b": 2, "c": 5}, 9) == {"a": 4, "b": 2, "c": 3}
+    assert sampling.turns_of({"a": 1}, 9) == {"a": 1} and sampling.turns_of({}, 3) == {} and sampling.turns_of({"a": 2, None: 2}, 3) == {"a": 2, None: 1}
 
 
 def test_json_sources(spark, tmp_path):
