@@ -41,16 +41,6 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select("n", F.bround(100 * F.col("po"), 2).alias("agreement"), F.bround(F.when(chance < 1, (F.col("po") - chance) / (1 - chance)), 4).alias("kappa"))
 
 
-def kendall_tau(ranks: DataFrame, item: str, a: str, b: str) -> DataFrame:
-    """Kendall's tau-a of two rankings of the same items (one row an item), null under two common items."""
-    r = ranks.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    left = r.select(F.col(item).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = r.select(F.col(item).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    pairs = left.join(right, F.col("i") < F.col("j"))  # pairs of ranked categories, of which there are few
-    concord = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg(concord).alias("tau"))
-
-
 def share_of_total(n: Column) -> Column:
     return n / F.sum(n).over(Window.partitionBy())
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from criterium.operators.ranks import MIDDLE, elements_at, median_of
+
 
 def rolling_mean(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = 20) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - rows, 0)
@@ -79,11 +81,10 @@ def ring_batches(spark, n: int, size: int, steps: int, start: int = 0) -> DataFr
 
 def length_stats(df: DataFrame, keys: list[str], tokens: str, limit: int) -> DataFrame:
     """n, least, median, 95th (element int(.95 n)), most, and the share over the limit."""
-    rows = df.groupBy(*keys).agg(
-        F.count(tokens).alias("n"), F.min(tokens).alias("least"), F.percentile(tokens, 0.5).alias("median"), F.max(tokens).alias("most"),
-        F.round(F.avg((F.col(tokens) > limit).cast("int")), 6).alias("over_rate"),
-    )
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(tokens))
-    n = F.count(tokens).over(Window.partitionBy(*keys))
-    p95 = df.where(F.col(tokens).isNotNull()).withColumn("_r", place).withColumn("_n", n).where(F.col("_r") == F.floor(0.95 * F.col("_n")) + 1).groupBy(*keys).agg(F.max(tokens).alias("p95"))
-    return rows.join(p95, keys)
+    rows = df.groupBy(*keys).agg(F.min(tokens).alias("least"), F.max(tokens).alias("most"), F.round(F.avg((F.col(tokens) > limit).cast("int")), 6).alias("over_rate"))
+    last = lambda n: F.least(F.floor(0.95 * n), n - 1)
+    found = elements_at(df, keys, tokens, {**MIDDLE, "p95": (0.95, last)}).select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "n", median_of("_low", "_high").alias("median"), "p95")
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    return rows.join(found, match).select(*keys, "n", "least", "median", "most", "over_rate", "p95")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from criterium.functions import stats
 from criterium.operators import progress as P
+from criterium.operators import ranks
 from criterium.plans.catalog import query
 from criterium.plans.derive import table
 
@@ -90,7 +91,21 @@ RANKS = "SELECT source, CAST(count(*) AS BIGINT) AS a, CAST(sum(n_chars) AS BIGI
 @query(f"SELECT count(*) AS pairs, round(avg(sign(x.a - y.a) * sign(x.b - y.b)), 6) AS tau FROM ({RANKS}) AS x JOIN ({RANKS}) AS y ON x.source < y.source")
 def kendall_tau(spark, d):
     rows = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("a"), F.sum("n_chars").alias("b"))
-    return stats.kendall_tau(rows, "source", "a", "b").select("pairs", F.round("tau", 6).alias("tau"))
+    return ranks.kendall_tau(rows, "a", "b").select("pairs", F.round("tau", 6).alias("tau"))
+
+
+@query(f"""WITH r AS (SELECT o_custkey, count(*) AS a, CAST(max(o_totalprice) AS BIGINT) AS b FROM orders GROUP BY o_custkey)
+SELECT count(*) AS pairs, round(avg(sign(x.a - y.a) * sign(x.b - y.b)), 6) AS tau FROM r AS x JOIN r AS y ON x.o_custkey < y.o_custkey""")
+def customer_rank_agreement(spark, d):
+    """All customers: how many orders they have against their largest order."""
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("a"), F.expr("cast(round(max(o_totalprice)) as bigint)").alias("b"))
+    return ranks.kendall_tau(rows, "a", "b").select("pairs", F.round("tau", 6).alias("tau"))
+
+
+@query("""SELECT event_type, count(*) AS n, list_sort(list(value))[(count(*) // 4) + 1] AS q1, round(quantile_cont(value, 0.5), 6) AS median, list_sort(list(value))[(3 * count(*) // 4) + 1] AS q3 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def value_quartiles(spark, d):
+    found = ranks.elements_at(table(spark, d, "events"), ["event_type"], "value", {"q1": (0.25, lambda n: F.floor(n / 4)), **ranks.MIDDLE, "q3": (0.75, lambda n: F.floor(3 * n / 4))})
+    return found.select("event_type", "n", "q1", F.round(ranks.median_of("_low", "_high"), 6).alias("median"), "q3")
 
 
 @query("SELECT user_id, round(coalesce(regr_slope(value, CAST(step AS DOUBLE)), 0), 6) AS slope FROM {steps} GROUP BY user_id")
