@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from criterium.operators import records as R
 from criterium.plans.catalog import query
 from criterium.plans.derive import table
+from criterium.streaming import budget
 
 
 def prompts(spark, d):
@@ -123,3 +124,19 @@ def completion_text(spark, d):
 def base64_round_trip(spark, d):
     encoded = F.base64(F.encode("n_name", "UTF-8"))
     return table(spark, d, "nation").select("n_nationkey", F.decode(F.unbase64(encoded), "UTF-8").alias("decoded"), encoded.alias("encoded"))
+
+
+DAY = 86_400_000_000
+BUDGET, STALL, EVERY = 12 * DAY, 2 * DAY, 8
+
+
+@query(f"""WITH e AS (SELECT user_id AS run, epoch_us(ts) AS t, event_type AS c, event_id FROM events),
+r AS (SELECT run, min(t) + {BUDGET} AS ends FROM e GROUP BY run), m AS (SELECT max(t) AS fin FROM e),
+k AS (SELECT *, lag(c) OVER w IS DISTINCT FROM c AS moved FROM e WINDOW w AS (PARTITION BY run ORDER BY t, c)),
+g AS (SELECT run, t, lead(t) OVER (PARTITION BY run ORDER BY t, c) AS nxt FROM k WHERE moved),
+f AS (SELECT run, 'stall' AS kind, t + {STALL} AS at_us FROM g JOIN r USING (run), m WHERE t + {STALL} < ends AND t + {STALL} <= coalesce(nxt, fin)
+UNION ALL SELECT run, 'budget', ends FROM r, m WHERE ends <= fin)
+SELECT f.run, kind, at_us, count(*) AS step, count(*) // {EVERY} * {EVERY} AS resume_step FROM f JOIN e ON e.run = f.run AND e.t < f.at_us GROUP BY ALL""")
+def run_budgets(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("counter"))
+    return budget.in_slices(rows, 3, BUDGET, STALL, EVERY)
