@@ -103,8 +103,8 @@ def test_odd_rows(spark):
     odd = [(None, at, at, 1, "k", 1.0, "p"), (5, at, None, 1, "k", 1.0, "p")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in good + odd], SCHEMA)
     names = ["click_id", "ts", "arrived_at", "client_id", "kind", "value", "props"]
-    want = plain(copies([dict(zip(names, r)) for r in good]))
-    assert rows_of(expiring.click_windows(df)) == want
+    want = plain(copies([dict(zip(names, r)) for r in good], 3))
+    assert rows_of(expiring.click_windows(df, 3)) == want
     assert rows_of(expiring.click_windows(df.limit(0))) == []
     assert expiring.click_windows(df.limit(0)).columns == FIELDS
 
