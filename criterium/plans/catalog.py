@@ -28,4 +28,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-from criterium.plans import answers, batched, composite, linked, panel, reconciled, recorded, sampled, series, texts, training  # noqa: E402, F401
+from criterium.plans import answers, batched, composite, generated, linked, panel, reconciled, recorded, sampled, series, texts, training  # noqa: E402, F401

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from criterium.operators import sampling as S
 from criterium.plans.catalog import query
 from criterium.plans.derive import table
-from criterium.sources import sinks
+from criterium.sources import published, sinks
+from criterium.sources.shared import scratch
 
 
 def docs(spark, d):
@@ -105,3 +106,14 @@ def committed_labels(spark, d):
 @query("SELECT count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) AS x")
 def missing_ids(spark, d):
     return docs(spark, d).select("doc_id").subtract(table(spark, d, "labels").select("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH d AS (SELECT * FROM documents WHERE source IS NOT NULL), b AS (SELECT doc_id, lang, source, n_chars + 1 AS n_chars FROM d WHERE source IN (SELECT source FROM d WHERE lang = 'de') AND doc_id // 20 % 2 = 0)
+SELECT * FROM b UNION ALL SELECT doc_id, lang, source, n_chars FROM d WHERE source NOT IN (SELECT source FROM b)""")
+def published_sources(spark, d):
+    """A table published by source, then half of the rows of sources with German texts, changed, in place of theirs."""
+    path, rows = scratch(spark, "published"), docs(spark, d).where("source is not null")
+    published.publish(rows, path, "source")
+    german = rows.join(rows.where("lang = 'de'").select("source").distinct(), "source", "left_semi")
+    published.publish(german.where("doc_id div 20 % 2 = 0").withColumn("n_chars", F.col("n_chars") + 1), path, "source")
+    return published.load(spark, path, "doc_id long, lang string, source string, n_chars long")
