@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from criterium.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, WORD
+from criterium.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, WORD, pairs_of
 
-SPAN = max(len(t.split()) for _, t in TEMPLATES)
+SPAN = max(len(pairs_of(t)) for _, t in TEMPLATES)
 
 
 def _template_rows() -> str:
-    return ", ".join(f"({k}, '{label}', {sorted(set(text.split()))!r})" for k, (label, text) in enumerate(TEMPLATES))
+    return ", ".join(f"({k}, '{label}', {sorted(set(pairs_of(text)))!r})" for k, (label, text) in enumerate(TEMPLATES))
 
 
 def _phrase_rows() -> str:
@@ -23,8 +23,9 @@ w AS (SELECT row, doc_id, text, regexp_extract_all(text, '{WORD}') AS words FROM
 b AS (SELECT w.row, p.label, unnest(list_filter(range(len(w.words)), lambda i: w.words[i + 1 : i + len(p.parts)] = p.parts)) AS place
       FROM w CROSS JOIN p WHERE contains(w.text, 'license')),
 s AS (SELECT row, CAST(count(*) AS BIGINT) AS n_base, CAST(min(place) AS BIGINT) AS first_word, CAST(max(place) AS BIGINT) AS last_word, list_sort(list_distinct(list(label))) AS base FROM b GROUP BY row),
-l AS (SELECT row, list_distinct(words[k * {SPAN} + 1 : (k + 2) * {SPAN}]) AS words FROM (SELECT row, words, unnest(range(0, (len(words) - 1) // {SPAN} + 1)) AS k FROM w WHERE len(words) > 0)),
-m AS (SELECT l.row, t.label, len(list_intersect(l.words, t.members)) / len(t.members)::DOUBLE AS containment FROM l CROSS JOIN t),
+q AS (SELECT row, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS pairs FROM w),
+l AS (SELECT row, list_distinct(pairs[k * {SPAN} + 1 : (k + 2) * {SPAN}]) AS pairs FROM (SELECT row, pairs, unnest(range(0, (len(pairs) - 1) // {SPAN} + 1)) AS k FROM q WHERE len(pairs) > 0)),
+m AS (SELECT l.row, t.label, len(list_intersect(l.pairs, t.members)) / len(t.members)::DOUBLE AS containment FROM l CROSS JOIN t),
 f AS (SELECT row, list_distinct(list(label)) AS found, max(containment) AS containment FROM m WHERE containment >= {THRESHOLD} GROUP BY row)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(s.n_base, 0) AS n_base, s.first_word, s.last_word,
        coalesce(array_to_string(s.base, ','), '') AS base_labels,

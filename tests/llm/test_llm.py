@@ -283,20 +283,21 @@ def test_licenses_over_lines_equal_brute_force(spark):
     for label, notice in licenses.TEMPLATES:
         parts = notice.split()
         for _ in range(4):
-            own = [w for w in parts if rng.random() > 0.1]
+            own = [w for w in parts if rng.random() > 0.03]
             own = [w + rng.choice([" ", ", ", "\n * ", "\r\n# ", " "]) for w in own]
             around = ["".join(rng.choice("abcde") for _ in range(3)) + rng.choice([" ", "\n"]) for _ in range(rng.randint(0, 150))]
             at = rng.randint(0, len(around))
             texts.append("".join([*around[:at], *own, *around[at:]]).upper() if rng.random() < 0.2 else "".join([*around[:at], *own, *around[at:]]))
     texts += ["released under the apache license", "x " * 5000 + "all rights reserved", "İ K license"]
-    span = max(len(t.split()) for _, t in licenses.TEMPLATES)
+    span = max(len(t.split()) - 1 for _, t in licenses.TEMPLATES)
 
     def brute(text):
         own = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text))
-        held = [{*own[k : k + 2 * span]} for k in range(0, len(own), span)]
+        two = [(a, b) for a, b in zip(own, own[1:])]
+        held = [{*two[k : k + 2 * span]} for k in range(0, len(two), span)]
         best = {}
         for label, notice in licenses.TEMPLATES:
-            want = {*notice.split()}
+            want = {*zip(notice.split(), notice.split()[1:])}
             share = max((len(want & h) / len(want) for h in held), default=0)
             if share >= licenses.THRESHOLD:
                 best[label] = max(best.get(label, 0), share)
@@ -308,11 +309,22 @@ def test_licenses_over_lines_equal_brute_force(spark):
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_base"], r["labels"], r["score"]) for r in rows}
     assert got == {k: brute(t) for k, t in enumerate(texts)}
+    assert sum(bool(g[2]) for g in got.values()) > len(texts) // 2
     mit = licenses.TEMPLATES[2][1].split()
     wrapped = " * " + " ".join(mit[:12]) + ",\n * " + " ".join(mit[12:])
     assert licenses.scan(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).first()["labels"] == "mit"
 
 
+def test_licenses_leave_prose_alone(spark):
+    prose = ["The rights are reserved to all of us", "all the hotel rooms are reserved and civil rights matter too", "a license was released under the name mit by the school", "released under the terms we agreed, with the apache helicopter license"]
+    notices = ["All Rights\n# Reserved.", "-- Released under the\n-- MIT license --", "/* Licensed under the Apache License,\n * Version 2.0 */"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(prose + notices)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == [""] * len(prose) + ["reserved", "mit", "apache"]
+    assert all(r["score"] == 0 for r in rows[: len(prose)])
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), templates=[("one", "word")])
+
+
 # neighbours
 
 
