@@ -15,8 +15,9 @@ each task before the shuffle, and do not depend on how pages are dealt to tasks.
 In open blocks the words of runs on at least ``OPEN_SHARE`` of the host's distinct pages, and on
 ``OPEN_PAGES``, are removed. In content a repeated passage may be the article's own (quotations,
 copies), so only whole blocks go, and only with runs on ``SHARE`` of at least ``CONTENT_PAGES`` pages.
-A page that would lose more than ``MOST`` of its words keeps all: it is a near copy of others, not an
-article among boilerplate. Pages with equal html count as one.
+An article's page that would lose more than ``MOST`` of its words keeps all, and so does an open one that would
+keep less than ``RUN`` words of its own: it is a near copy of others, not an article among boilerplate. Pages with
+equal html count as one.
 
 Defined cases: a null html is an empty page, with an empty text; a page without a host groups under
 the empty host; end tags that HTML lets one omit are implied, and unclosed elements end with their
@@ -244,7 +245,7 @@ def cleaned(blocks: list[tuple[int, str]], open_runs: np.ndarray, content_runs:
     if content:
         for b, e in zip(bounds[:-1], bounds[1:]):
             gone[b:e] = gone[b:e].all()
-    if gone.sum() > MOST * len(gone):
+    if gone.sum() > MOST * len(gone) if content else len(gone) - gone.sum() < RUN:
         return "\n\n".join(texts)
     kept = []
     for text, b, e in zip(texts, bounds[:-1], bounds[1:]):

@@ -80,7 +80,7 @@ def brute(rows):
                     gone[at : at + len(b)] = here
                 at += len(b)
                 kept.append(" ".join(w for w, g in zip(b, here) if not g))
-            text = "\n\n".join(t for t in texts(p)) if sum(gone) > 0.8 * len(gone) else "\n\n".join(t for t in kept if t)
+            text = "\n\n".join(t for t in texts(p)) if (sum(gone) > 0.8 * len(gone) if content else len(gone) - sum(gone) < 8) else "\n\n".join(t for t in kept if t)
             out.update((k, text) for k in ids)
     return out
 
@@ -129,6 +129,14 @@ def test_near_copies_and_passages_stay(spark):
     assert all(got[k] == "\n\n".join([*body, f"edit {k}"]) for k in range(12)) and got[20] == f"own 0\n\n{body[0]}"
 
 
+def test_short_articles_on_heavy_pages_are_cleaned(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("aeioubdlmnrst") for _ in range(6)) for _ in range(n))
+    heavy, own = say(120), [say(60 if k % 2 else 10) for k in range(8)]
+    got = extracted(spark, [(k, f"http://heavy/{k}", f"<div>{heavy}</div><div>{o}</div>") for k, o in enumerate(own)])
+    assert got == dict(enumerate(own))
+
+
 def test_anchors_meet_in_repeated_substrings():
     rng = np.random.default_rng(1)
     same = rng.integers(0, 2**63, html.WINDOW, dtype=np.uint64)
