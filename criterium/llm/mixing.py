@@ -53,9 +53,10 @@ def offset(source: Column, seed: str) -> Column:
 def _copied(docs: DataFrame, row: list[Column], *, weights: list[int] | None = None, budget: float = 1.5, cap: float = 2.0, seed: str = "mix:") -> DataFrame:
     """documents -> ``row``, doc_id, size, source_size, target, copies."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select(*row, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), F.monotonically_increasing_id().alias("_at"))
-    # rows that are equal in all of the order are spread by their place
-    rows = ranked(rows, ["source"], ["size", "_key", "doc_id", "_at"])
+    # rows of one doc_id and size come in order of all their columns' hash (but maps, which have none), so a rerun takes the same ones; equal rows by their place
+    whole = F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t))
+    rows = docs.select(*row, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key"), whole.alias("_hash"), F.monotonically_increasing_id().alias("_at"))
+    rows = ranked(rows, ["source"], ["size", "_key", "doc_id", "_hash", "_at"])
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights or [5, 2, 1], budget, cap).withColumnRenamed("source", "_source")
     rows = rows.join(small(settled(targets)), same(F.col("source"), F.col("_source")))

@@ -201,6 +201,9 @@ def test_mix_words_near_targets(spark, documents):
 def test_mix_odd(spark, odd, empty):
     assert mixing.mix(odd).count() == len(ODD)
     assert mixing.mix(empty).count() == 0
+    twins = odd.limit(0).unionByName(odd.sparkSession.createDataFrame([(3, f"{w} two three", "en", "s", k, "clash", 1.5) for k, w in enumerate("abcdefghij")], odd.schema))
+    taken = [sorted(r["text"] for r in mixing.mixed(twins.repartition(n).orderBy(F.rand(n))).collect()) for n in (1, 4, 9)]
+    assert taken[0] == taken[1] == taken[2]
     got = mixing.mixed(odd)
     assert got.columns == odd.columns
     assert got.count() == mixing.mix(odd).agg(F.sum("copies")).first()[0]
