@@ -42,7 +42,10 @@ def _tree(text: str) -> str:
 
 def _print(tree: str) -> str:
     root = f"sha256(array_to_string(list_transform({tree}, lambda s: md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), ''))), ''))"
-    short = f"array_to_string(list_transform({tree}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda x: x[1:8]), '')), ',')), ';')"
+    leaf = "array_to_string(list_transform(p, lambda x: x[1:8]), '')"
+    branch = f"'P' || left(md5(array_to_string(p, '')), 8) || {leaf}"
+    whole = f"'S' || left(md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), '')), 8) || array_to_string(list_transform(s, lambda p: {branch}), ',')"
+    short = f"array_to_string(list_transform({tree}, lambda s: {whole}), ';')"
     return f"{root} || ':' || {short}"
 
 

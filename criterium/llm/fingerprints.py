@@ -3,9 +3,11 @@
 A text is split into sections (at blank lines), paragraphs (at line ends) and leaves (runs of at
 most ``LEAF`` words with their white space); nothing is left out. A leaf's digest is its md5, a
 paragraph's and a section's the md5 of their children's digests, the root the sha256 of the
-sections'. A fingerprint is ``root:tree``; the tree lists the leaves' digests, eight characters
-each, with ``,`` between paragraphs and ``;`` between sections. Equal roots mean equal texts, and
-trees differ in just the branches that an edit touched.
+sections'. A fingerprint is ``root:tree``; the tree lists the digests of all nodes in order, eight
+characters each: ``S`` and a section's, then for each of its paragraphs ``P`` and the paragraph's,
+then its leaves'; ``,`` stands between paragraphs and ``;`` between sections. Equal roots mean equal
+texts. Two trees are compared from the root down: only sections whose digests differ are looked into,
+and of these only paragraphs whose digests differ, so an edit is found in the branches that it touched.
 
 Defined cases: a null text is an empty one; the fingerprint of an empty text has no leaf, and two
 texts without leaves are alike (1.0) only if their roots are equal; documents with the same
@@ -37,8 +39,10 @@ def fingerprint(tree: Column) -> Column:
     paragraph = lambda p: F.md5(F.array_join(p, ""))
     section = lambda s: F.md5(F.array_join(F.transform(s, paragraph), ""))
     root = F.sha2(F.array_join(F.transform(tree, section), ""), 256)
-    short = lambda p: F.array_join(F.transform(p, lambda x: F.left(x, F.lit(SHORT))), "")
-    return F.concat_ws(":", root, F.array_join(F.transform(tree, lambda s: F.array_join(F.transform(s, short), ",")), ";"))
+    short = lambda x: F.left(x, F.lit(SHORT))
+    branch = lambda p: F.concat(F.lit("P"), short(paragraph(p)), F.array_join(F.transform(p, short), ""))
+    whole = lambda s: F.concat(F.lit("S"), short(section(s)), F.array_join(F.transform(s, branch), ","))
+    return F.concat_ws(":", root, F.array_join(F.transform(tree, whole), ";"))
 
 
 def root_of(print_: Column) -> Column:
@@ -47,7 +51,8 @@ def root_of(print_: Column) -> Column:
 
 def leaves_of(print_: Column) -> Column:
     """The distinct short digests of a fingerprint's leaves."""
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(print_, ":", -1), F.lit(rf"[0-9a-f]{{{SHORT}}}"), F.lit(0)))
+    leaves = F.regexp_replace(F.substring_index(print_, ":", -1), rf"[SP][0-9a-f]{{{SHORT}}}", "")
+    return F.array_distinct(F.regexp_extract_all(leaves, F.lit(rf"[0-9a-f]{{{SHORT}}}"), F.lit(0)))
 
 
 def likeness(a: Column, b: Column, leaves_a: Column, leaves_b: Column) -> Column:
@@ -56,13 +61,28 @@ def likeness(a: Column, b: Column, leaves_a: Column, leaves_b: Column) -> Column
     return F.when(root_of(a) == root_of(b), 1.0).when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect(leaves_a, leaves_b)) / both)
 
 
+def _unequal(a: Column, b: Column, mark: str, between: str) -> Column:
+    """Children of two nodes, by place, whose own digests are not the same: place, and both branches (null where there is none)."""
+    digest = lambda x: F.left(x, F.lit(1 + SHORT))
+    children = lambda x: F.filter(F.split(F.coalesce(x, F.lit("")), between), lambda c: c.startswith(mark))
+    pairs = F.transform(F.arrays_zip(children(a).alias("a"), children(b).alias("b")), lambda p, i: F.struct(i.alias("place"), p["a"].alias("a"), p["b"].alias("b")))
+    return F.filter(pairs, lambda p: ~digest(p["a"]).eqNullSafe(digest(p["b"])))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Where two fingerprints differ, from the root down: (section, paragraph, leaves: places of the unequal leaves), from 0, of paragraphs that are not equal in place."""
+    tree = lambda f: F.substring_index(f, ":", -1)
+    inner = lambda x: F.substring(x, F.lit(2 + SHORT), F.length(x))
+    cut = lambda x: F.regexp_extract_all(inner(F.coalesce(x, F.lit(""))), F.lit(rf"[0-9a-f]{{{SHORT}}}"), F.lit(0))
+    places = lambda p: F.filter(F.transform(F.arrays_zip(cut(p["a"]).alias("a"), cut(p["b"]).alias("b")), lambda x, i: F.when(~x["a"].eqNullSafe(x["b"]), i)), lambda i: i.isNotNull())
+    below = lambda s: F.transform(_unequal(inner(s["a"]), inner(s["b"]), "P", ","), lambda p: F.struct(s["place"].alias("section"), p["place"].alias("paragraph"), places(p).alias("leaves")))
+    found = F.flatten(F.transform(_unequal(tree(a), tree(b), "S", ";"), below))
+    return F.when(root_of(a) == root_of(b), F.slice(found, 1, 0)).otherwise(found)
+
+
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Where two fingerprints differ: (section, paragraph), from 0, of branches that are not equal in place."""
-    parts = lambda f: F.split(F.substring_index(f, ":", -1), ";")
-    sections = F.transform(F.arrays_zip(parts(a).alias("a"), parts(b).alias("b")), lambda s, i: F.struct(i.alias("i"), s["a"].alias("a"), s["b"].alias("b")))
-    pairs = lambda s: F.arrays_zip(F.split(F.coalesce(s["a"], F.lit("")), ",").alias("a"), F.split(F.coalesce(s["b"], F.lit("")), ",").alias("b"))
-    rows = lambda s: F.filter(F.transform(pairs(s), lambda p, j: F.when(~p["a"].eqNullSafe(p["b"]), F.struct(s["i"].alias("section"), j.alias("paragraph")))), lambda x: x.isNotNull())
-    return F.flatten(F.transform(F.filter(sections, lambda s: ~s["a"].eqNullSafe(s["b"])), rows))
+    """(section, paragraph) of :func:`differing`."""
+    return F.transform(differing(a, b), lambda x: F.struct(x["section"].alias("section"), x["paragraph"].alias("paragraph")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

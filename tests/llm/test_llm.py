@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips, held-out accuracy and odd rows."""
 
+import itertools
 import random
 import re
 import zlib
@@ -269,6 +270,34 @@ def test_edits_are_located(spark):
     assert [(x["section"], x["paragraph"]) for x in found] == [(0, 1), (1, 2)]
 
 
+def test_edits_are_found_from_the_root_down(spark):
+    """Random edits: the paragraphs and leaves that differ are those of the texts, and equal branches are not looked into."""
+    rng = random.Random(8)
+    text = lambda: "\n\n".join("\n".join(" ".join(rng.choice("abc") for _ in range(rng.randrange(30))) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 4)))
+    pairs = []
+    for _ in range(60):
+        a = text()
+        at = rng.randrange(len(a) + 1)
+        pairs.append((a, a[:at] + rng.choice(["", "x", " new", "\n", "\n\n"]) + a[at + rng.randrange(2) :]))
+    pairs += [("", ""), ("", "a"), ("a", "a")]
+
+    def plain(a, b):
+        def cut(p):
+            return [m[0] for m in re.finditer(fingerprints.LEAVES, p)]
+
+        out = []
+        for i, (s, t) in enumerate(itertools.zip_longest(a.split("\n\n"), b.split("\n\n"))):
+            for j, (p, q) in enumerate(itertools.zip_longest(s.split("\n") if s is not None else [], t.split("\n") if t is not None else [])):
+                if p != q:
+                    out.append((i, j, [k for k, (x, y) in enumerate(itertools.zip_longest(cut(p or ""), cut(q or ""))) if x != y]))
+        return out
+
+    p = lambda c: fingerprints.fingerprint(fingerprints.digests(F.col(c)))
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(pairs)], "k int, a string, b string").select("k", p("a").alias("a"), p("b").alias("b"))
+    got = {r["k"]: [(x["section"], x["paragraph"], x["leaves"]) for x in r["x"]] for r in rows.select("k", fingerprints.differing(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert got == {k: plain(*x) for k, x in enumerate(pairs)}
+
+
 def test_licenses_odd(spark, odd, empty):
     rows = licenses.scan(odd).collect()
     assert len(rows) == len(ODD) and all(r["labels"] == "" and r["score"] == 0 for r in rows)
