@@ -21,10 +21,23 @@ def recovery(votes: DataFrame, arms: list[str], base: str = "0", by: list[str] |
 
     An arm without a row recovers nothing and breaks nothing. The arms are columns of one hash aggregation, not a self-join.
     """
-    by = by or ["cause"]
     of = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("passed")))
-    rows = votes.groupBy(*CRITERION).agg(of(base).alias("base"), *(of(a).alias(f"arm_{k}") for k, a in enumerate(arms))).where("base is not null")
-    rows = rows.select(*by, "base", F.inline(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"arm_{k}").alias("own")) for k, a in enumerate(arms)))))
+    return _against(votes.groupBy(*CRITERION).agg(of(base).alias("base"), *(of(a).alias(f"arm_{k}") for k, a in enumerate(arms))), arms, by)
+
+
+def recovery_of_records(records: DataFrame, arms: list[str], base: str = "0", by: list[str] | None = None) -> DataFrame:
+    """:func:`recovery` of the records' :func:`majority`, both in one aggregation: decodes and passes of every arm are counted per criterion."""
+    arm = {a: F.col("arm") == a for a in (base, *arms)}
+    n, k = ({a: F.count_if(c) for a, c in arm.items()}, {a: F.count_if(c & F.coalesce("passed", F.lit(False))) for a, c in arm.items()})
+    of = lambda a: F.when(n[a] > 0, 2 * k[a] > n[a])
+    rows = records.where(F.col("arm").isin(base, *arms)).groupBy(*CRITERION)
+    return _against(rows.agg(of(base).alias("base"), *(of(a).alias(f"arm_{i}") for i, a in enumerate(arms))), arms, by)
+
+
+def _against(rows: DataFrame, arms: list[str], by: list[str] | None) -> DataFrame:
+    """Criteria with ``base`` and a column an arm -> counts per arm and group."""
+    by = by or ["cause"]
+    rows = rows.where("base is not null").select(*by, "base", F.inline(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"arm_{k}").alias("own")) for k, a in enumerate(arms)))))
     return rows.groupBy("arm", *by).agg(
         F.count_if(~F.col("base")).alias("failed"), F.count_if(~F.col("base") & F.coalesce("own", F.lit(False))).alias("recovered"),
         F.count_if("base").alias("held"), F.count_if(F.col("base") & (F.col("own") == F.lit(False))).alias("broken"),

@@ -33,17 +33,17 @@ def majority_vote(spark, d):
 
 @query(f"SELECT *, round(recovered / failed::DOUBLE, 6) AS rec, round(broken / held::DOUBLE, 6) AS brk, recovered - broken AS net FROM ({_counts()}) AS c")
 def recovery_breakage(spark, d):
-    return E.rates(E.recovery(majority(spark, d), ARMS))
+    return E.rates(E.recovery_of_records(table(spark, d, "records"), ARMS))
 
 
 @query(f"SELECT round({_contrast(E.INTERACTION, '')}, 6) AS contrast FROM ({_counts()}) AS c")
 def interaction(spark, d):
-    return E.contrast(E.recovery(majority(spark, d), ARMS), E.INTERACTION).select(F.round("contrast", 6).alias("contrast"))
+    return E.contrast(E.recovery_of_records(table(spark, d, "records"), ARMS), E.INTERACTION).select(F.round("contrast", 6).alias("contrast"))
 
 
 @query(f"SELECT round({_contrast(E.TARGETING, '')}, 6) AS contrast FROM ({_counts()}) AS c")
 def targeting_crossover(spark, d):
-    return E.contrast(E.recovery(majority(spark, d), ARMS), E.TARGETING).select(F.round("contrast", 6).alias("contrast"))
+    return E.contrast(E.recovery_of_records(table(spark, d, "records"), ARMS), E.TARGETING).select(F.round("contrast", 6).alias("contrast"))
 
 
 VARIANTS = {
@@ -59,7 +59,7 @@ def len_capped_variants(spark, d):
     records = table(spark, d, "records")
     out = None
     for v in VARIANTS:
-        row = E.contrast(E.recovery(E.majority(E.treated(records, v)), ARMS), E.INTERACTION).select(F.lit(v).alias("variant"), F.round("contrast", 6).alias("contrast"))
+        row = E.contrast(E.recovery_of_records(E.treated(records, v), ARMS), E.INTERACTION).select(F.lit(v).alias("variant"), F.round("contrast", 6).alias("contrast"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -140,12 +140,12 @@ def _per_prompt(arms: str, cause: str) -> str:
 @query(f"""SELECT 'all' AS cut, round(quantile_cont(x, 0.025), 6) AS lo, round(quantile_cont(x, 0.975), 6) AS hi FROM (SELECT b, sum(w * recovered) / sum(w * failed)::DOUBLE AS x FROM
 (SELECT *, {weight_sql('11', 'prompt_id')} AS w FROM ({_per_prompt("'RA'", "cause = 'coverage'")}) AS c CROSS JOIN (SELECT unnest(range({BOOTS})) AS b) AS d) AS w GROUP BY b) AS t""")
 def bootstrap_recovery_ci(spark, d):
-    rows = E.recovery(majority(spark, d).where("cause = 'coverage'"), ["RA"], by=["prompt_id"])
+    rows = E.recovery_of_records(table(spark, d, "records").where("cause = 'coverage'"), ["RA"], by=["prompt_id"])
     return resample.statistic_interval(rows, "prompt_id", ["failed", "recovered"], F.expr("try_divide(recovered, failed)"), BOOTS, 11)
 
 
 @query(f"""SELECT arm, cause, round({AT.format(v='x', q=0.025)}, 6) AS lo, round({AT.format(v='x', q=0.975)}, 6) AS hi FROM (SELECT arm, cause, b, CASE WHEN sum(w * failed) > 0 THEN sum(w * recovered) / sum(w * failed)::DOUBLE ELSE 0 END AS x FROM
 (SELECT *, {weight_sql('13', "concat_ws(':', arm, cause, prompt_id)")} AS w FROM ({_per_prompt("'SA', 'RA'", "true")}) AS c CROSS JOIN (SELECT unnest(range({BOOTS})) AS b) AS d) AS w GROUP BY arm, cause, b) AS t GROUP BY arm, cause""")
 def bootstrap_recovery_by_arm(spark, d):
-    rows = E.recovery(majority(spark, d), ["SA", "RA"], by=["cause", "prompt_id"])
+    rows = E.recovery_of_records(table(spark, d, "records"), ["SA", "RA"], by=["cause", "prompt_id"])
     return resample.recovery_intervals(rows, BOOTS, 13)

@@ -113,3 +113,14 @@ def test_proxies(spark):
     rows = spark.createDataFrame([("a", True), ("a", None), ("b", True), ("b", True), ("c", False)], "root_cause string, ok boolean")
     found = {r["proxy"]: (r["n_rows"], r["top"], r["matches"]) for r in stability.proxies(rows, {"ok": "ok", "none": "ok is null"}, 2).collect()}
     assert found == {"full": (5, "a,b", True), "ok": (3, "a,b", True), "none": (1, "a", False)}
+
+
+def test_recovery_in_one_aggregation_equals_the_two_steps(spark):
+    from criterium.operators import estimands
+
+    draw = random.Random(6)
+    rows = [(draw.choice(["0", "A", "B", "C"]), draw.choice("xy"), draw.randrange(9), f"c{draw.randrange(3)}", draw.choice([True, False, None])) for _ in range(600)]
+    records = spark.createDataFrame(rows, "arm string, cause string, prompt_id long, criterion_id string, passed boolean")
+    for by in (None, ["cause", "prompt_id"]):
+        one, two = estimands.recovery_of_records(records, ["A", "B", "gone"], by=by), estimands.recovery(estimands.majority(records), ["A", "B", "gone"], by=by)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
