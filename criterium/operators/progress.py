@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from criterium.operators.ranks import MIDDLE, elements_at, median_of
+from criterium.operators.sampling import hashed_places, unused
 
 
 def rolling_mean(df: DataFrame, keys: list[str], order: list[str], value: str, rows: int = 20) -> DataFrame:
@@ -72,11 +73,16 @@ def throughput(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), F.round(F.expr("try_divide(sum(tokens), sum(seconds))"), 6).alias("tokens_per_s"))
 
 
-def ring_batches(spark, n: int, size: int, steps: int, start: int = 0) -> DataFrame:
-    """step, slot, index: batches that run round a pool of n."""
-    return spark.range(steps * size).select(
-        F.floor(F.col("id") / size).alias("step"), (F.col("id") % size).alias("slot"), F.pmod(F.lit(start) + F.col("id"), F.lit(max(n, 1))).alias("index")
-    )
+def ring_batches(pool: DataFrame, key: str, size: int, rounds: int, start: int, seed: int) -> DataFrame:
+    """step, slot, key: batches of ``size`` that run round the pool in hashed order, from place ``start``, until each has come ``rounds`` times.
+
+    A row's batches follow from its place alone, so nothing but the pool's places is computed in order.
+    """
+    one, place, total = unused(pool, "_one"), unused(pool, "_place"), unused(pool, "_total")
+    rows = hashed_places(pool.select(key, F.lit(1).alias(one)), [one], [key], seed, place, total)
+    at = F.pmod(F.col(place) - 1 - F.lit(start), F.col(total)) + F.col("lap") * F.col(total)
+    rows = rows.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("at", at)
+    return rows.select(F.floor(F.col("at") / size).alias("step"), (F.col("at") % size).alias("slot"), key)
 
 
 def length_stats(df: DataFrame, keys: list[str], tokens: str, limit: int) -> DataFrame:

@@ -64,9 +64,10 @@ def throughput(spark, d):
     return P.throughput(table(spark, d, "events").select("event_type", F.col("event_id").alias("tokens"), F.col("value").alias("seconds")), ["event_type"])
 
 
-@query("SELECT id // 8 AS step, id % 8 AS slot, (5 + id) % 30 AS index FROM (SELECT unnest(range(160)) AS id) AS x")
+@query("""SELECT p // 8 AS step, p % 8 AS slot, doc_id FROM (SELECT doc_id, (place - 1 - 5 + 2 * n) % n + lap * n AS p
+FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('3:', doc_id)), doc_id) AS place, count(*) OVER () AS n FROM documents) AS d CROSS JOIN (VALUES (0), (1)) AS l(lap)) AS x""")
 def ring_batches(spark, d):
-    return P.ring_batches(spark, 30, 8, 20, 5)
+    return P.ring_batches(table(spark, d, "documents").select("doc_id"), "doc_id", 8, 2, 5, 3)
 
 
 @query("""SELECT lang, count(*) AS n, min(n_chars) AS least, quantile_cont(n_chars, 0.5) AS median, max(n_chars) AS most, round(avg((n_chars > 4000)::INT), 6) AS over_rate, list_sort(list(n_chars))[CAST(floor(0.95::DOUBLE * count(*)) AS BIGINT) + 1] AS p95 FROM documents GROUP BY lang""")

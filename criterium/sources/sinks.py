@@ -60,16 +60,27 @@ def committed_labels(bundle: DataFrame, remote: DataFrame, staged: DataFrame, ke
     return bundle.join(r, keys, "left").join(s, keys, "left").withColumn("human", F.coalesce("staged", "remote", "human")).drop("remote", "staged")
 
 
-def results_document(meta: dict[str, str], summary: DataFrame, prompts: DataFrame) -> DataFrame:
-    """One row with the nested document as JSON: a run's summary and per-prompt rows, both small."""
+def results_document(meta: dict[str, str], summary: DataFrame, prompts: DataFrame, key: str) -> DataFrame:
+    """place, line: the lines of a run's document, a JSON object of meta, summary (a row a model) and prompts (a line each, in order of
+    ``key``, which no two prompts share and none lacks).
+
+    No task holds more than some lines: that one is first, which needs no comma before it, is told by the least key.
+    """
     s = summary.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "pass_rate")))).alias("criterion_pass_rate"))
-    p = prompts.agg(F.array_sort(F.collect_list(F.struct(*prompts.columns))).alias("prompts"))
     info = F.create_map(*(F.lit(x) for kv in sorted(meta.items()) for x in kv))
-    return s.crossJoin(p).select(F.to_json(F.struct(info.alias("meta"), F.struct("criterion_pass_rate").alias("summary"), "prompts")).alias("document"))
-
-
-def write_document(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").text(path)
+    head = F.to_json(F.struct(info.alias("meta"), F.struct("criterion_pass_rate").alias("summary")))
+    none = F.lit(None).cast(prompts.schema[key].dataType).alias("_key")
+    opening = s.select(head.alias("_h")).select(F.lit(0).alias("place"), none, F.concat(F.expr("left(_h, length(_h) - 1)"), F.lit(', "prompts": [')).alias("line"))
+    least = prompts.agg(F.min(key).alias("_least"))  # one row
+    comma = F.when(F.col(key).eqNullSafe(F.col("_least")), "").otherwise(", ")
+    lines = prompts.crossJoin(F.broadcast(least)).select(F.lit(1).alias("place"), F.col(key).alias("_key"), F.concat(comma, F.to_json(F.struct(*prompts.columns))).alias("line"))
+    closing = prompts.sparkSession.range(1).select(F.lit(2).alias("place"), none, F.lit("]}").alias("line"))
+    return opening.unionByName(lines).unionByName(closing)
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """The document's lines as part files that follow each other in order; put one behind the other they are the document."""
+    lines.repartitionByRange("place", "_key").sortWithinPartitions("place", "_key").select("line").write.mode("overwrite").text(path)
 
 
 def markdown_table(rows: DataFrame) -> str:

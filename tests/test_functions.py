@@ -1,5 +1,6 @@
 """Text, verifier and statistics functions on small cases."""
 
+import json
 import random
 from collections import Counter
 from hashlib import md5
@@ -220,8 +221,12 @@ def test_sinks(spark, tmp_path):
     assert {tuple(r) for r in sinks.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     assert {tuple(r) for r in sinks.repaired(old, new, ["k"]).collect()} == {(1, "a"), (2, "c")}
     assert sinks.log_union([old, df]).columns == ["k", "v", "judge", "model", "id"]
-    doc = sinks.results_document({"slug": "x"}, spark.createDataFrame([("m", 50.0)], "model string, pass_rate double"), old).first()["document"]
-    assert '"criterion_pass_rate":{"m":50.0}' in doc
+    models = spark.createDataFrame([("m", 50.0)], "model string, pass_rate double")
+    for prompts in (spark.range(300).select((F.col("id") * 7 % 300).alias("k"), F.lit('a "quoted"\nline').alias("v")).repartition(5), old.limit(0)):
+        sinks.write_document(sinks.results_document({"slug": "x"}, models, prompts, "k"), str(tmp_path / "doc"))
+        doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*"))))
+        assert doc["meta"] == {"slug": "x"} and doc["summary"] == {"criterion_pass_rate": {"m": 50.0}}
+        assert [r["k"] for r in doc["prompts"]] == list(range(prompts.count())) and all(r["v"] == 'a "quoted"\nline' for r in doc["prompts"])
 
 
 def test_stream_resumes(spark, tmp_path):
