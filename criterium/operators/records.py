@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from criterium.functions.stats import percent
@@ -110,6 +110,12 @@ def yields(attempts: DataFrame, by: list[str]) -> DataFrame:
     return s.withColumn("yield", percent(F.col("accepted"), F.col("n")))
 
 
+def source_stats(rows: DataFrame, cause: str, accepted: Column) -> DataFrame:
+    """Per cause: rows, accepted ones, their share in percent, and ``target_n``, the least number of accepted ones of any cause. A row a cause in the window."""
+    counts = rows.groupBy(cause).agg(F.count(F.lit(1)).alias("n"), F.count_if(accepted).alias("accepted"))
+    return counts.select(cause, "n", "accepted", percent(F.col("accepted"), F.col("n"), digits=1).alias("yield_pct"), F.min("accepted").over(Window.partitionBy()).alias("target_n"))
+
+
 def label_stats(rows: DataFrame, judge: str, human: str) -> DataFrame:
     """Labelled, open, agreeing and disagreeing rows."""
     done = F.col(human).isin("PASS", "FAIL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from criterium.functions import stats, verifiers
-from criterium.operators import estimands, failures, joined, loops, resample, sampling
+from criterium.operators import estimands, failures, joined, loops, records, resample, sampling
 from criterium.plans import texts
 from criterium.plans.catalog import ORACLE_SQL, query
 from criterium.plans.derive import table
@@ -112,6 +112,21 @@ ORACLE_SQL["rejected_health"] = f"""{texts.LOOPS} SELECT d.lang AS model, count(
 count(*) FILTER (WHERE d.doc_id % 2 = 0 AND r.doc_id IS NOT NULL) AS looping FROM documents AS d LEFT JOIN r USING (doc_id) WHERE d.doc_id % 7 = 0 GROUP BY d.lang"""
 
 
+@query(None)
+def response_forensics(spark, d):
+    return loops.forensics(table(spark, d, "responses"), ["model", "id"])
+
+
+ORACLE_SQL["response_forensics"] = f"""{texts.LOOPS} SELECT lang AS model, d.doc_id AS id, finish_reason, CASE WHEN d.doc_id % 2 = 0 THEN length(text) ELSE 0 END AS content_chars, CASE WHEN d.doc_id % 3 = 0 THEN length(text) ELSE 0 END AS reasoning_chars,
+looping AND d.doc_id % 2 = 0 AS content_loop, CASE WHEN d.doc_id % 3 = 0 AND text <> '' THEN looping END AS reasoning_loop, looping AND (d.doc_id % 2 = 0 OR d.doc_id % 3 = 0) AS loop_any, finish_reason IS DISTINCT FROM 'stop' AS nonstop_finish
+FROM (SELECT *, {FINISH} AS finish_reason, doc_id IN (SELECT doc_id FROM r) AS looping FROM documents) AS d"""
+
+
+@query("""SELECT kind, count(*) AS n, count(*) FILTER (WHERE passed) AS accepted, round_even(100.0 * count(*) FILTER (WHERE passed) / count(*), 1) AS yield_pct, min(count(*) FILTER (WHERE passed)) OVER () AS target_n FROM {records} WHERE arm = 'SA' GROUP BY kind""")
+def source_statistics(spark, d):
+    return records.source_stats(table(spark, d, "records").where("arm = 'SA'"), "kind", F.col("passed"))
+
+
 def _wilson(k: str, n: str, sign: str) -> str:
     z = "1.96::DOUBLE"
     return f"(({k}) / ({n})::DOUBLE + {z} * {z} / (2 * ({n})) {sign} {z} * sqrt(({k}) / ({n})::DOUBLE * (1 - ({k}) / ({n})::DOUBLE) / ({n}) + {z} * {z} / (4 * ({n}) * ({n})))) / (1 + {z} * {z} / ({n}))"

@@ -165,10 +165,9 @@ def resume_anti_join(spark, d):
     return pending(docs(spark, d).select("doc_id"), table(spark, d, "labels"), ["doc_id"])
 
 
-@query("SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def semi_join_selected(spark, d):
-    bad = table(spark, d, "labels").where("quality = 0")
-    return docs(spark, d).select("doc_id", "source").join(bad.select("doc_id", "quality"), "doc_id")
+    return docs(spark, d).select("doc_id", "source").join(table(spark, d, "labels").where("quality = 0"), "doc_id", "left_semi")
 
 
 @query("SELECT doc_id, concat('1. ', lang, chr(10), '2. ', source) AS listed, concat(lang, ' and ', source) AS sentence, concat(lang, '__', source) AS cell FROM documents")
