@@ -68,14 +68,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(hadoop).delete(target, True)
 
 
-def move(spark: SparkSession, path: str, to: str) -> None:
-    """Rename a folder of :func:`fresh_path`, if it is there; the folder that it comes to is made first."""
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a folder of :func:`fresh_path`, if it is there, and say whether it was; the folder that it comes to is made first."""
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
     files = source.getFileSystem(hadoop)
     files.mkdirs(target.getParent())
-    if files.exists(source) and not files.rename(source, target):
+    if not files.exists(source):
+        return False
+    if not files.rename(source, target):
         raise OSError(f"{path} could not be moved to {to}")
+    return True
 
 
 def settled(df: DataFrame) -> DataFrame:

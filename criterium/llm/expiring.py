@@ -7,7 +7,7 @@ before that limit close.
 
 Keys are hashed to buckets; a bucket is one group of the stateful operator. Its ``windows`` map goes from
 key to open window, its ``wheel`` map from a deadline hour to the keys of the windows that end then, and one
-timer, at the earliest deadline, drains the slots that the watermark has passed. Before the shuffle every
+timer, at the earliest deadline, drains the slots that the watermark has passed when the next batch comes. Before the shuffle every
 Arrow batch counts equal records and packs what is left of a bucket into one row, so a hot key's repeats are
 counted where they are read; what a bucket holds in one batch at a time are its distinct (key, hour, hash).
 Windows that the bucket's own newest hour already ends are given out at once and never enter the state.
@@ -98,10 +98,15 @@ def _packed(origin: int) -> Callable:
 
 
 class ExpiringWindows(StatefulProcessor):
-    """One bucket's windows; ``batch`` is the number of the batch that this start of the query brings, ``origin`` hour 0 of its event time."""
+    """One bucket's windows; ``batch`` is the number of the batch that this start of the query brings, ``before`` that of the last one before it
+    that had records, ``origin`` hour 0 of its event time; ``newest`` is the newest hour of all, known to the last start alone.
 
-    def __init__(self, batch: int, origin: int, span: int = SPAN, late: int = LATE):
-        self.batch, self.origin, self.span, self.late = batch, origin, span, late
+    A window whose deadline the batch before has passed is given out with the next batch that comes, and counts as closed
+    by the one before: the watermark stands still while a batch is worked on.
+    """
+
+    def __init__(self, batch: int, before: int, origin: int, newest: int | None = None, span: int = SPAN, late: int = LATE):
+        self.batch, self.before, self.origin, self.newest, self.span, self.late = batch, before, origin, newest, span, late
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -115,20 +120,22 @@ class ExpiringWindows(StatefulProcessor):
         if not len(got):
             return
         got, _ = _combined(got)
-        slots = self._slots()
+        slots, over = self._slots(), self._over(timerValues)
         # what lies this far behind the bucket's own newest hour ends with this batch, whatever the other buckets have
         ended = int(got["hour"].max()) - self.late
-        due = {d for d in slots if d < ended}
+        due = {d for d in slots if d < max(ended, over)}
         needed = {*got["key"].tolist()}.union(*(slots[d].tolist() for d in due))
         held, whole = self._held(needed, sum(map(len, slots.values())))
-        closed, live = self._passed(got, held)
-        keep, gone = {}, set()
+        before = {k: w for k, w in held.items() if w[0] + self.span < over}
+        closed, live = self._passed(got, {k: w for k, w in held.items() if k not in before})
+        closed = [(k, self.before, *w) for k, w in before.items()] + [(k, self.batch, *w) for k, *w in closed]
+        keep, gone = {}, {k for k in before if k not in live}
         for k, w in held.items():
-            if k not in live and w[0] + self.span < ended:
+            if k not in live and k not in before and w[0] + self.span < ended:
                 live[k] = w
         for k, w in live.items():
             if w[0] + self.span < ended:
-                closed.append((k, *w))
+                closed.append((k, self.batch, *w))
                 gone.add(k)
             else:
                 keep[k] = w
@@ -138,16 +145,21 @@ class ExpiringWindows(StatefulProcessor):
             yield self._given(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        slots = self._slots()
-        due = {d for d in slots if (d - self.origin) * HOUR_MS <= passed}
+        slots, over = self._slots(), self._over(timerValues)
+        due = {d for d in slots if d < over}
         held, whole = self._held({k for d in due for k in slots[d].tolist()}, sum(map(len, slots.values())))
-        closed = [(k, *w) for k, w in held.items() if (w[0] + self.span - self.origin) * HOUR_MS <= passed]
+        # behind the last batch all others close too
+        late = lambda w: self.newest is not None and w[0] + self.span >= self.newest - self.late
+        closed = [(k, self.batch - 1 if late(w) else self.before, *w) for k, w in held.items() if w[0] + self.span < over]
         self._store({}, {c[0] for c in closed}, held, whole)
         self._turn(slots, due, [])
         if closed:
             yield self._given(closed)
 
+    def _over(self, timerValues) -> int:
+        """Deadlines under this hour had passed when the batch came."""
+        return timerValues.getCurrentWatermarkInMs() // HOUR_MS + 1 + self.origin
+
     def close(self) -> None:
         pass
 
@@ -225,17 +237,17 @@ class ExpiringWindows(StatefulProcessor):
             self.handle.registerTimer(t)
 
     def _given(self, closed: list[tuple]) -> Row:
-        k, start, repeats, conflicts, crc, digest = map(list, zip(*closed))
-        return Row(key=k, start_hour=start, closed_batch=[self.batch] * len(k), n_repeats=repeats, n_conflicts=conflicts, conflict_crc=crc, hash=digest)
+        k, batch, start, repeats, conflicts, crc, digest = map(list, zip(*closed))
+        return Row(key=k, start_hour=start, closed_batch=batch, n_repeats=repeats, n_conflicts=conflicts, conflict_crc=crc, hash=digest)
 
 
-def closed_windows(records: DataFrame, batch: int, origin: int, buckets: int, *, span: int = SPAN, late: int = LATE) -> DataFrame:
+def closed_windows(records: DataFrame, batch: int, before: int, origin: int, buckets: int, *, newest: int | None = None, span: int = SPAN, late: int = LATE) -> DataFrame:
     """A stream of (key long, hour long, hash binary of 32 bytes) -> the windows that close, for one start of the query."""
     keyed = records.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("long").alias("bucket"), "key", "hour", "hash")
     packs = keyed.mapInArrow(_packed(origin), "bucket long, event_time timestamp, pack binary")
     # hours are whole, so one millisecond more than the limit drops what is older than it, and nothing at it
     packs = packs.withWatermark("event_time", f"{late} hours 1 milliseconds")
-    closed = packs.groupBy("bucket").transformWithState(ExpiringWindows(batch, origin, span, late), _CLOSED, "Append", "EventTime")
+    closed = packs.groupBy("bucket").transformWithState(ExpiringWindows(batch, before, origin, newest, span, late), _CLOSED, "Append", "EventTime")
     fields = [f.split()[0] for f in WINDOWS.split(", ")]
     one = closed.select(F.inline(F.arrays_zip(*fields)))
     return one.withColumn("hash", F.lower(F.hex("hash")))
@@ -253,8 +265,9 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }
+#: Only the last start works on without data, until all that its record has ended is out; else a start is one micro-batch.
+_WORKS_ON = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def replay(records: DataFrame, digest: Column, batches: int, *, span: int = SPAN, late: int = LATE) -> DataFrame:
@@ -274,20 +287,23 @@ def replay(records: DataFrame, digest: Column, batches: int, *, span: int = SPAN
         return spark.createDataFrame([], WINDOWS)
     buckets = max(BUCKETS, -(-n // (batches * RECORDS)))
     origin = oldest - 2 * (span + late) - 1000
-    last = spark.range(1).select(*(F.lit(newest + 4 * (span + late)).alias(c) if c == "hour" else F.lit(None).cast(t).alias(c) for c, t in records.dtypes if c != "batch"))
-    last.write.parquet(f"{root}/staged/batch={batches}")
+    closing = spark.range(1).select(*(F.lit(newest + 4 * (span + late)).alias(c) if c == "hour" else F.lit(None).cast(t).alias(c) for c, t in records.dtypes if c != "batch"))
+    closing.write.parquet(f"{root}/staged/batch={batches}")
 
-    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    before = {k: spark.conf.get(k, None) for k in (*_SETTINGS, _WORKS_ON)}
     try:
         for k, v in _SETTINGS.items():
             spark.conf.set(k, v)
+        last = -1
         for batch in range(batches + 1):
-            move(spark, f"{root}/staged/batch={batch}", f"{root}/landed/batch={batch}")
+            spark.conf.set(_WORKS_ON, str(batch == batches).lower())
+            came = move(spark, f"{root}/staged/batch={batch}", f"{root}/landed/batch={batch}")
             landed = spark.readStream.schema(records.schema).parquet(f"{root}/landed")
             rows = landed.select("key", "hour", digest.alias("hash"))
-            closed = closed_windows(rows, min(batch, batches - 1), origin, buckets, span=span, late=late)
+            closed = closed_windows(rows, batch, last, origin, buckets, newest=newest if batch == batches else None, span=span, late=late)
             query = closed.writeStream.format("parquet").option("path", f"{root}/closed").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
+            last = batch if came else last
     finally:
         for k, v in before.items():
             if v is None:
