@@ -4,13 +4,14 @@ Words are runs of letters (A-Z as a-z), digits and all other than ASCII; what is
 pairs, two words that follow each other, so that a template's words scattered over prose are none of it. A block
 is a window of 2 x L pairs that begins at every L-th pair, L being the number of pairs of the longest template, so
 that whatever stands in L pairs, over line ends and comment marks, lies whole in some block. A template is found in
-a block that holds at least ``threshold`` of the template's distinct pairs. Template pairs are ordered by document
-frequency over the whole corpus, rarest first; a block can only reach the threshold with a template if it holds one
-of the template's first (size - need + 1) pairs (prefix filter), has enough template pairs (length filter), and has
-enough of them left after the match (positional filter). What passes is verified exactly.
+a block that holds at least ``threshold`` of the template's distinct pairs. Such a block lacks no more of the
+template's words than of its pairs, which says how many words it needs. Template words are ordered by document
+frequency over the whole corpus, rarest first; a block can only hold enough words of a template if it holds one
+of the template's first (size - need + 1) words (prefix filter), has enough template words (length filter), and has
+enough of them left after the match (positional filter). Texts with a block that passes are verified exactly, by pairs.
 
 A row is scanned where it stands, against the templates as literals: no text, block or link is
-shuffled, so no source or group of copies is hot. A first pass counts template pairs.
+shuffled, so no source or group of copies is hot. A first pass counts template words.
 
 Defined cases: a null text is an empty one and has no words; a text that repeats a phrase counts every
 place of it; an empty table gives no rows; very long texts have as many blocks as they need; repeated
@@ -89,42 +90,52 @@ def places(tokens: Column, phrase: str) -> Column:
 
 
 class Index:
-    """Templates with their pairs rarest first; ``span`` is the number of the longest one's."""
+    """Templates with their words rarest first; ``span`` is the number of the longest one's pairs.
+
+    Where a block lacks m of a template's pairs it lacks m of its words at most, so blocks that lack more words are passed over.
+    """
 
     def __init__(self, templates: list[tuple[str, str]], threshold: float, frequency: dict[str, int]):
         self.span = max((len(pairs_of(t)) for _, t in templates), default=1)
-        self.order = sorted({w for _, t in templates for w in pairs_of(t)}, key=lambda w: (frequency.get(w, 0), w))
+        self.order = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (frequency.get(w, 0), w))
         rank = {w: k for k, w in enumerate(self.order)}
-        self.rows = []
+        self.rows, self.pairs = [], []
         for label, text in templates:
-            own = sorted({*pairs_of(text)}, key=rank.__getitem__)
-            need = max(1, math.ceil(threshold * len(own) - 1e-9))
+            own, two = sorted({*text.split()}, key=rank.__getitem__), sorted({*pairs_of(text)})
+            enough = max(1, math.ceil(threshold * len(two) - 1e-9))
+            need = max(1, len(own) - (len(two) - enough))
             self.rows.append((label, own, need, own[: len(own) - need + 1]))
+            self.pairs.append((label, two, enough))
         self.probes = sorted({w for *_, prefix in self.rows for w in prefix})
 
     def literal(self) -> Column:
-        return F.array(*(F.struct(F.lit(label).alias("label"), strings(own).alias("own"), F.lit(need).alias("need"), strings(prefix).alias("prefix")) for label, own, need, prefix in self.rows))
+        return F.array(*(F.struct(strings(own).alias("own"), F.lit(need).alias("need"), strings(prefix).alias("prefix")) for _, own, need, prefix in self.rows))
 
-    def blocks(self, tokens: Column) -> Column:
-        """The template pairs, rarest first, of every block of pairs that holds a probe."""
+    def blocks(self, tokens: Column, size: int) -> Column:
+        """Windows of ``size`` that begin at every ``span``-th word or pair."""
         begins = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / self.span).cast("int"))
-        each = F.transform(begins, lambda k: F.slice(tokens, k * self.span + 1, 2 * self.span))
-        return F.transform(F.filter(each, lambda b: F.arrays_overlap(b, strings(self.probes))), lambda b: F.array_intersect(strings(self.order), b))
+        return F.transform(begins, lambda k: F.slice(tokens, k * self.span + 1, size))
 
-    def found(self, block: Column) -> Column:
-        """(label, containment) of the templates that a block holds."""
+    def may_hold(self, tokens: Column) -> Column:
+        """Whether the words of a block let some template through the prefix, length and positional filters, and enough of them are there."""
 
-        def passes(t: Column) -> Column:
+        def passes(block: Column, t: Column) -> Column:
             def place(p: Column, i: Column) -> Column:
                 j = F.array_position(block, p).cast("int") - 1
                 rest = 1 + F.least(F.size(t["own"]) - i - 1, F.size(block) - j - 1)
                 return F.when(j >= 0, rest + F.least(i, j) >= t["need"]).otherwise(False)
 
-            return (F.size(block) >= t["need"]) & F.exists(F.transform(t["prefix"], place), lambda x: x)
+            return (F.size(block) >= t["need"]) & F.exists(F.transform(t["prefix"], place), lambda x: x) & (F.size(F.array_intersect(block, t["own"])) >= t["need"])
+
+        probed = F.filter(self.blocks(tokens, 2 * self.span + 1), lambda b: F.arrays_overlap(b, strings(self.probes)))
+        return F.exists(probed, lambda b: F.exists(self.literal(), lambda t: passes(F.array_intersect(strings(self.order), b), t)))
 
-        overlap = lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(block, t["own"])).alias("overlap"), t["need"].alias("need"), F.size(t["own"]).alias("n"))
-        held = F.filter(F.transform(F.filter(self.literal(), passes), overlap), lambda x: x["overlap"] >= x["need"])
-        return F.transform(held, lambda x: F.struct(x["label"].alias("label"), (x["overlap"] / x["n"]).alias("containment")))
+    def found(self, tokens: Column) -> Column:
+        """(label, containment) of the templates that a block of the pairs holds."""
+        templates = F.array(*(F.struct(F.lit(label).alias("label"), strings(two).alias("own"), F.lit(enough).alias("need")) for label, two, enough in self.pairs))
+        held = lambda b: F.transform(templates, lambda t: F.struct(t["label"].alias("label"), F.size(F.array_intersect(b, t["own"])).alias("n"), t["need"].alias("need"), F.size(t["own"]).alias("of")))
+        every = F.filter(F.flatten(F.transform(self.blocks(pairs(tokens), 2 * self.span), held)), lambda x: x["n"] >= x["need"])
+        return F.transform(every, lambda x: F.struct(x["label"].alias("label"), (x["n"] / x["of"]).alias("containment")))
 
 
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -133,16 +144,16 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] | None = None, thr
     ``score`` is the largest containment of a template, 1 where a base phrase stands, else 0.
     """
     templates = templates or TEMPLATES
-    vocabulary = sorted({w for _, t in templates for w in pairs_of(t)})
-    counted = docs.select(F.explode(F.array_intersect(strings(vocabulary), pairs(words(F.col("text"))))).alias("pair")).groupBy("pair").count()
-    index = Index(templates, threshold, {r["pair"]: r["count"] for r in counted.collect()})  # template pairs alone
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
+    counted = docs.select(F.explode(F.array_intersect(strings(vocabulary), words(F.col("text")))).alias("word")).groupBy("word").count()
+    index = Index(templates, threshold, {r["word"]: r["count"] for r in counted.collect()})  # template words alone
 
     tokens = F.col("tokens")
-    rows = docs.select("doc_id", words(F.col("text")).alias("tokens")).select("doc_id", "tokens", pairs(tokens).alias("pairs"))
+    rows = docs.select("doc_id", words(F.col("text")).alias("tokens"))
     heads = sorted({p.split()[-1] for p in PHRASES})
-    rows = rows.select("doc_id", "tokens", "pairs", F.arrays_overlap(tokens, strings(heads)).alias("may"), F.arrays_overlap("pairs", strings(index.probes)).alias("probed"))
+    rows = rows.select("doc_id", "tokens", F.arrays_overlap(tokens, strings(heads)).alias("may"), F.arrays_overlap(tokens, strings(index.probes)).alias("probed"))
     none = "array<struct<label:string,containment:double>>"
-    found = F.when(F.col("probed"), F.flatten(F.transform(index.blocks(F.col("pairs")), index.found))).otherwise(F.array().cast(none))
+    found = F.when(F.when(F.col("probed"), index.may_hold(tokens)).otherwise(False), index.found(tokens)).otherwise(F.array().cast(none))
     base = [F.when(F.col("may"), places(tokens, p)).otherwise(F.array().cast("array<int>")).alias(label) for p, label in PHRASES.items()]
     rows = rows.select("doc_id", F.size(tokens).cast("long").alias("n_words"), *base, found.alias("found"))
     every = F.concat(*(F.col(label) for label in PHRASES.values()))
