@@ -99,7 +99,8 @@ def kendall_tau(spark, d):
 SELECT count(*) AS pairs, round(avg(sign(x.a - y.a) * sign(x.b - y.b)), 6) AS tau FROM r AS x JOIN r AS y ON x.o_custkey < y.o_custkey""")
 def customer_rank_agreement(spark, d):
     """All customers: how many orders they have against their largest order."""
-    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("a"), F.expr("cast(round(max(o_totalprice)) as bigint)").alias("b"))
+    orders = table(spark, d, "orders").where("o_custkey is not null")
+    rows = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("a"), F.rint(F.max("o_totalprice")).cast("long").alias("b"))
     return ranks.kendall_tau(rows, "a", "b").select("pairs", F.round("tau", 6).alias("tau"))
 
 

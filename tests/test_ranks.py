@@ -57,3 +57,13 @@ def test_length_stats(spark):
     got = {r["k"]: r for r in progress.length_stats(spark.createDataFrame(rows, "k string, v int"), ["k"], "v", 50).collect()}
     assert (got["a"]["n"], got["a"]["least"], got["a"]["median"], got["a"]["most"], got["a"]["over_rate"], got["a"]["p95"]) == (100, 1, 50.5, 100, 0.5, 96)
     assert got["b"]["median"] == got["b"]["p95"] == 7 and got[None]["n"] == 1
+
+
+def test_customer_rank_agreement_rounds_halves_as_its_sql_does(spark, tmp_path):
+    from criterium.plans.catalog import ORACLE_SQL, QUERIES
+
+    from tests.test_queries import matches
+
+    rows = [(1, 2.5), (2, 2.0), (2, 1.0), (3, 3.5), (3, 3.5), (3, 0.1), (4, 4.0), (None, 9.0), (None, 1.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").toPandas().astype({"o_custkey": "Int64"}).to_parquet(tmp_path / "orders.parquet")
+    matches(spark, str(tmp_path), QUERIES["customer_rank_agreement"], ORACLE_SQL["customer_rank_agreement"])
