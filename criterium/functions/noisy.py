@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedControlChars": "false"}
 _SPACE = " \t\n\r\x0b\f"
+#: How a bracket and what stands up to the next one may begin an array.
+_BEGINS = r"^\[\s*(?:[\]{\"0-9-]|true|false|null|\z)"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: an expression that stands in several places of a lambda is worked out in each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def balanced_prefix(text: Column, pair: str = "[]") -> Column:
     """From the bracket that a text begins with to the one that closes it, brackets in strings aside; null where none does.
 
-    Depth, quotes and escapes are folded over the pieces between quotes, backslashes and brackets.
+    Depth, quotes and escapes are folded over the pieces between quotes, backslashes and brackets. Runs with an even number
+    of quotes and without the other two change nothing, in a string and out of it, so up to 50 such pairs are one piece.
     """
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
@@ -32,34 +40,49 @@ def balanced_prefix(text: Column, pair: str = "[]") -> Column:
         return F.when(s["end"] > 0, s).otherwise(after)
 
     marks = rf'"\\\{pair[0]}\{pair[1]}'
-    end = F.aggregate(F.regexp_extract_all(text, F.lit(f"[{marks}]|[^{marks}]+"), F.lit(0)), start, step)["end"]
-    return F.when(end > 0, F.substring(text, F.lit(1), end))
+    pieces = rf'(?<!\\)(?:"[^{marks}]*+"[^{marks}]*+){{1,50}}+|[{marks}]|[^{marks}]+'
+    end = lambda t: F.aggregate(F.regexp_extract_all(t, F.lit(pieces), F.lit(0)), start, step)["end"]
+    return _once(text, lambda t: _once(end(t), lambda e: F.when(e > 0, F.substring(t, F.lit(1), e))))
 
 
 def _trimmed(text: Column) -> Column:
     return F.trim(text, F.lit(_SPACE))
 
 
+def _parsed(text: Column) -> Column:
+    """A balanced text that is a JSON array, else null."""
+    return _once(text, lambda t: F.when(F.from_json(t, "array<string>", _STRICT).isNotNull(), t))
+
+
 def _array(text: Column) -> Column:
     """A text that is a JSON array as a whole, else null. The parser alone would not look behind the array."""
-    return F.when(text.startswith("[") & (balanced_prefix(text) == text) & F.from_json(text, "array<string>", _STRICT).isNotNull(), text)
+    return F.when(text.startswith("[") & (balanced_prefix(text) == text), _parsed(text))
 
 
 def first_json_array(text: Column) -> Column:
     """The first JSON array of a noisy text: a fenced block that is one, else the whole text, else the first balanced
-    ``[...]`` that parses; null without any. A bracket is tried only if no earlier one gave an array."""
-    whole = F.concat(F.transform(F.regexp_extract_all(text, F.lit(FENCE), F.lit(1)), _trimmed), F.array(_trimmed(text)))
-    first = lambda found, more: F.when(found.isNotNull(), found).otherwise(more)
-    direct = F.aggregate(whole, F.lit(None).cast("string"), lambda found, part: first(found, _array(part)))
-    tails = F.transform(F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)) == "["), lambda i: F.substring(text, i, F.length(text)))
-    inner = F.aggregate(tails, F.lit(None).cast("string"), lambda found, tail: first(found, _array(balanced_prefix(tail))))
-    return F.when(text.contains("[") & text.contains("]"), first(direct, inner))
+    ``[...]`` that parses; null without any. A bracket is tried only if no earlier one gave an array, and what may begin one follows it."""
+
+    def found(t: Column) -> Column:
+        whole = F.concat(F.transform(F.regexp_extract_all(t, F.lit(FENCE), F.lit(1)), _trimmed), F.array(_trimmed(t)))
+        direct = F.aggregate(whole, F.lit(None).cast("string"), lambda had, part: F.coalesce(had, _array(part)))
+
+        def step(s: Column, piece: Column) -> Column:
+            tail = F.substring(t, s["at"] + 1, F.length(t))
+            own = F.when(piece.rlike(_BEGINS), _parsed(balanced_prefix(tail)))
+            return F.struct(F.coalesce(s["found"], own).alias("found"), (s["at"] + F.length(piece)).alias("at"))
+
+        none = F.struct(F.lit(None).cast("string").alias("found"), F.lit(0).alias("at"))
+        inner = F.aggregate(F.regexp_extract_all(t, F.lit(r"\[[^\[]*+|[^\[]++"), F.lit(0)), none, step)["found"]
+        return F.when(t.contains("[") & t.contains("]"), F.coalesce(direct, inner))
+
+    return _once(text, found)
 
 
 def json_object(text: Column) -> Column:
     """From the first ``{`` to the last ``}``, where that is a JSON object; else null."""
-    part = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when((balanced_prefix(part, "{}") == part) & F.from_json(part, "map<string,string>", _STRICT).isNotNull(), part)
+    whole = lambda p: F.when((balanced_prefix(p, "{}") == p) & F.from_json(p, "map<string,string>", _STRICT).isNotNull(), p)
+    return _once(F.regexp_extract(text, r"(?s)\{.*\}", 0), whole)
 
 
 def entries(text: Column, field: str, keep: Callable[[Column], Column], most: int) -> Column:
@@ -67,9 +90,13 @@ def entries(text: Column, field: str, keep: Callable[[Column], Column], most: in
 
     Null without an object; an empty array where the field is no list or nothing is kept.
     """
-    listed = F.from_json(F.get_json_object(json_object(text), f"$.{field}"), "array<string>")
-    kept = F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda e: e.startswith("{") & F.coalesce(keep(e), F.lit(False)))
-    return F.when(json_object(text).isNotNull(), F.slice(kept, 1, most))
+
+    def of(whole: Column) -> Column:
+        listed = F.from_json(F.get_json_object(whole, f"$.{field}"), "array<string>")
+        kept = F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda e: e.startswith("{") & F.coalesce(keep(e), F.lit(False)))
+        return F.when(whole.isNotNull(), F.slice(kept, 1, most))
+
+    return _once(json_object(text), of)
 
 
 def synthesis(text: Column, categories: list[str]) -> Column:

@@ -96,3 +96,16 @@ def test_entries_and_synthesis(spark):
     assert [r["s"]["error"] for r in rows[1:]] == ["no object", "no valid recommendation", "no valid recommendation", "no object", "no object"]
     assert [None if r["e"] is None else len(r["e"]) for r in rows] == [5, None, 0, 0, None, None]
     assert all(r["s"]["recommendations"] is None for r in rows[1:])
+
+
+def test_a_text_is_cut_once_a_place(spark):
+    """Pieces, brackets and parses stand in a plan once for every place they are worked out for, however deep they nest."""
+    rows = spark.createDataFrame([("see [1]",)], "t string")
+    array, kept = rows.select(noisy.first_json_array(F.col("t")).alias("x")), rows.select(noisy.entries(F.col("t"), "items", lambda e: F.lit(True), 2).alias("x"))
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    assert plan(array).count("regexp_extract_all(") <= 5 and plan(kept).count("regexp_extract_all(") == 1
+
+
+@pytest.mark.parametrize("text, want", [('x [] y', "[]"), ('[no] [\n"a\\"]"] z', '[\n"a\\"]"]'), ('" [ "q [[1], "b]"] ] [2]', '[[1], "b]"]'), ('[' + '"s", ' * 120 + '"]"]', '[' + '"s", ' * 120 + '"]"]'), ('["a" "b"] [nul] [ -1 ]', "[ -1 ]")])
+def test_brackets_between_many_strings(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(noisy.first_json_array(F.col("t")).alias("x")).first()["x"] == want
