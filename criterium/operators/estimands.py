@@ -11,9 +11,24 @@ from pyspark.sql import functions as F
 CRITERION = ["cause", "prompt_id", "criterion_id"]
 
 
-def majority(records: DataFrame) -> DataFrame:
-    """Strict majority of the decodes."""
-    return records.groupBy("arm", *CRITERION).agg((2 * F.count_if("passed") > F.count(F.lit(1))).alias("passed"))
+def majority(records: DataFrame, arms: list[str] | None = None) -> DataFrame:
+    """Strict majority of the decodes.
+
+    The arms that are named are columns of one aggregation, with a row a criterion in its shuffle; all others have a row an arm there.
+    """
+    rest = records if arms is None else records.where(~F.coalesce(F.col("arm").isin(arms), F.lit(False)))
+    own = rest.groupBy("arm", *CRITERION).agg((2 * F.count_if("passed") > F.count(F.lit(1))).alias("passed"))
+    if arms is None:
+        return own
+    rows = records.where(F.col("arm").isin(arms)).groupBy(*CRITERION).agg(*(_majority_of(a).alias(f"arm_{k}") for k, a in enumerate(arms)))
+    long = F.inline(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"arm_{k}").alias("passed")) for k, a in enumerate(arms))))
+    return rows.select(*CRITERION, long).where("passed is not null").select("arm", *CRITERION, "passed").unionByName(own)
+
+
+def _majority_of(arm: str) -> Column:
+    """Of the decodes of one arm in a group; null without any. Both counts are one sum: decodes that pass count 1, others -1."""
+    one = F.when(F.col("arm") == arm, F.when(F.coalesce("passed", F.lit(False)), 1).otherwise(-1))
+    return F.sum(one) > 0
 
 
 def recovery(votes: DataFrame, arms: list[str], base: str = "0", by: list[str] | None = None) -> DataFrame:
@@ -27,11 +42,8 @@ def recovery(votes: DataFrame, arms: list[str], base: str = "0", by: list[str] |
 
 def recovery_of_records(records: DataFrame, arms: list[str], base: str = "0", by: list[str] | None = None) -> DataFrame:
     """:func:`recovery` of the records' :func:`majority`, both in one aggregation: decodes and passes of every arm are counted per criterion."""
-    arm = {a: F.col("arm") == a for a in (base, *arms)}
-    n, k = ({a: F.count_if(c) for a, c in arm.items()}, {a: F.count_if(c & F.coalesce("passed", F.lit(False))) for a, c in arm.items()})
-    of = lambda a: F.when(n[a] > 0, 2 * k[a] > n[a])
     rows = records.where(F.col("arm").isin(base, *arms)).groupBy(*CRITERION)
-    return _against(rows.agg(of(base).alias("base"), *(of(a).alias(f"arm_{i}") for i, a in enumerate(arms))), arms, by)
+    return _against(rows.agg(_majority_of(base).alias("base"), *(_majority_of(a).alias(f"arm_{i}") for i, a in enumerate(arms))), arms, by)
 
 
 def _against(rows: DataFrame, arms: list[str], by: list[str] | None) -> DataFrame:

@@ -23,7 +23,7 @@ def _contrast(terms, counts: str) -> str:
 
 
 def majority(spark, d):
-    return E.majority(table(spark, d, "records"))
+    return E.majority(table(spark, d, "records"), ARMS)
 
 
 @query(MAJORITY)
