@@ -32,8 +32,16 @@ def poisson_steps() -> list[int]:
 def weights(seed: Column | int, block: Column, key: Column) -> list[Column]:
     """The weights of a cluster in the draws of a block."""
     digest = F.md5(F.concat_ws(":", (seed if isinstance(seed, Column) else F.lit(seed)).cast("string"), block.cast("string"), key.cast("string")))
-    value = lambda k: F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
-    return [sum((F.when(value(k) >= s, 1).otherwise(0) for s in poisson_steps()[1:]), F.when(value(k) >= poisson_steps()[0], 1).otherwise(0)) for k in range(BLOCK)]
+    return [weight_of(F.substring(digest, 8 * k + 1, 8)) for k in range(BLOCK)]
+
+
+def weight_of(bits: Column) -> Column:
+    """The weight that eight hexadecimal digits stand for: they sort as their numbers, and most are under one of the first steps."""
+    steps = [f"{s:08x}" for s in poisson_steps()]
+    weight = F.when(bits < steps[0], 0)
+    for k, s in enumerate(steps[1:], 1):
+        weight = weight.when(bits < s, k)
+    return weight.otherwise(len(steps))
 
 
 def resampled_sums(clusters: DataFrame, key: Column | str, sums: list[str], n_boot: int, seed: Column | int, by: list[str] | None = None) -> DataFrame:

@@ -124,3 +124,19 @@ def test_recovery_in_one_aggregation_equals_the_two_steps(spark):
     for by in (None, ["cause", "prompt_id"]):
         one, two = estimands.recovery_of_records(records, ["A", "B", "gone"], by=by), estimands.recovery(estimands.majority(records), ["A", "B", "gone"], by=by)
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_majority_of_named_arms_equals_that_of_rows(spark):
+    from criterium.operators import estimands
+
+    rows = [(a, "c", i % 7, f"k{i % 3}", p) for i, a in enumerate(["A", "B", None, "other", "A"] * 12) for p in (True, None, i % 2 == 0)]
+    records = spark.createDataFrame(rows, "arm string, cause string, prompt_id int, criterion_id string, passed boolean")
+    got, want = estimands.majority(records, ["A", "B", "gone"]), estimands.majority(records)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_weights_are_compared_as_digits(spark):
+    """As numbers they are converted for every step; the digits sort alike."""
+    bits = [b for s in resample.poisson_steps() for b in (s - 1, s, s + 1) if 0 <= b < 2**32] + [0, 2**32 - 1]
+    got = spark.createDataFrame([(b, f"{b:08x}") for b in bits], "b long, t string").select("b", resample.weight_of(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in got] == [sum(r["b"] >= s for s in resample.poisson_steps()) for r in got]
