@@ -60,6 +60,11 @@ def with_defaults(rows: DataFrame, tags: DataFrame, keys: list[str], defaults: d
     return rows.join(there, keys, "left").select(*rows.columns, F.inline(F.array(F.coalesce("_tags", none))))
 
 
+def own_or_default(rows: DataFrame, keys: list[str], there: Column, tags: dict[str, Column], defaults: dict[str, object]) -> DataFrame:
+    """Keys and tags that rows have themselves, where ``there`` is true; a default for each that is missing."""
+    return rows.select(*keys, *(F.coalesce(F.when(there, tags[c]), F.lit(v)).alias(c) for c, v in defaults.items()))
+
+
 def offered(cells: DataFrame, taxonomy: DataFrame, trace: Column, collapsed: str) -> DataFrame:
     """Every cell with the categories that it may be given, in order.
 

@@ -55,3 +55,17 @@ def test_binary_reward(spark):
     texts = ["<think>a,</think>b", "<think>a</think>b,", "b", "</think>b", None, "<think>"]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", verifiers.binary_reward(F.col("t"), [{"type": "no_commas"}]).alias("r")).orderBy("i").collect()
     assert [r["r"] for r in got] == [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_default_tags_reads_the_lines_once(spark, data, tmp_path):
+    import duckdb
+
+    from criterium.plans.catalog import ORACLE_SQL, QUERIES
+
+    from tests.test_queries import matches
+
+    line = f"SELECT * FROM '{data}/lineitem.parquet'"
+    duckdb.execute(f"COPY (FROM ({line}) UNION ALL SELECT * REPLACE (NULL::BIGINT AS l_orderkey) FROM ({line} WHERE l_tax <= 0.04 LIMIT 9)) TO '{tmp_path}/lineitem.parquet'")
+    matches(spark, str(tmp_path), QUERIES["default_tags"], ORACLE_SQL["default_tags"])
+    plan = QUERIES["default_tags"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
