@@ -94,6 +94,15 @@ def test_small_buckets_read_and_store_their_state_alike(spark, monkeypatch):
     assert rows_of(got) == plain(batches)
 
 
+def test_no_store_stays_open_after_its_task(spark):
+    """A start's stores are closed when it has ended; they held native memory beside those of later starts."""
+    df = spark.createDataFrame([(k % 2, k, k % 2, "%064x" % 1) for k in range(40)], "batch int, key long, hour long, digest string")
+    memory = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.streaming.state, "RocksDBMemoryManager$"), "MODULE$")
+    before = memory.getNumRocksDBInstances(True)
+    assert expiring.replay(df, F.unhex("digest"), 2).count() == 40
+    assert memory.getNumRocksDBInstances(True) <= before
+
+
 SCHEMA = "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string, hour string, bucket int"
 
 
