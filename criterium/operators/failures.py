@@ -68,8 +68,12 @@ def agreement_by(labels: DataFrame, group: str, a: str, b: str) -> DataFrame:
 
 def failed_cells(consensus: DataFrame, done: DataFrame) -> DataFrame:
     """Cells that truly failed and have no diagnosis yet, with their failed criteria in order."""
-    rows = consensus.where("verdict = 'FAIL' and reason not in ('panel_no_quorum', 'panel_tie')")
-    rows = rows.groupBy("model", "prompt_id").agg(F.array_sort(F.collect_list("criterion_index")).alias("failed"))
+    return without_diagnosis(consensus.where("verdict = 'FAIL' and reason not in ('panel_no_quorum', 'panel_tie')"), done)
+
+
+def without_diagnosis(failed: DataFrame, done: DataFrame) -> DataFrame:
+    """Failed criteria, a row each -> those of every cell that has no diagnosis yet, in order."""
+    rows = failed.groupBy("model", "prompt_id").agg(F.array_sort(F.collect_list("criterion_index")).alias("failed"))
     return rows.join(done.select("model", "prompt_id").distinct(), ["model", "prompt_id"], "left_anti")
 
 

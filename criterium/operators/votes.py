@@ -65,6 +65,12 @@ def consensus_majority(votes: DataFrame, n_judges: int) -> DataFrame:
     return rows.withColumn("reason", reason).select(*_columns())
 
 
+def failed_by_majority(votes: DataFrame, n_judges: int) -> DataFrame:
+    """The cells that :func:`consensus_majority` fails for their votes, not for a tie or a low quorum: two counts a cell, no reasons are gathered."""
+    rows = with_vote(votes).groupBy(*CELL).agg(F.count_if(F.col("vote") == "PASS").alias("n_pass"), F.count_if(F.col("vote") == "FAIL").alias("n_fail"))
+    return rows.where((F.col("n_pass") + F.col("n_fail") >= min(2, n_judges)) & (F.col("n_fail") > F.col("n_pass")))
+
+
 def consensus_anchored(votes: DataFrame, n_judges: int, anchor: str) -> DataFrame:
     """Majority with quorum 2; the anchor's vote breaks ties; what stays open is excluded."""
     low, tie, won = F.col("n_pass") + F.col("n_fail") < 2, F.col("n_pass") == F.col("n_fail"), F.col("n_pass") > F.col("n_fail")
