@@ -17,9 +17,12 @@ def validation_pool(votes: DataFrame, prompts: DataFrame, responses: DataFrame,
     bad = F.lit(False)
     for prefix in NOT_VALIDATED:
         bad = bad | F.coalesce(F.col("reason").startswith(prefix), F.lit(False))
-    rows = votes.join(prompts.select("prompt_id", "n_criteria"), "prompt_id").where(~bad & F.col("criterion_index").between(1, F.col("n_criteria")))
-    heads = responses.select("prompt_id", "model", F.left("response", F.lit(excerpt)).alias("response_excerpt"))
-    return rows.join(heads, ["prompt_id", "model"], "left")
+    heads = responses.select("prompt_id", F.struct("model", F.left("response", F.lit(excerpt)).alias("head")).alias("one")).groupBy("prompt_id").agg(F.collect_list("one").alias("_heads"))
+    # a prompt's heads, one a model, come with it: the votes, many times as many, are joined once
+    asked = prompts.select("prompt_id", "n_criteria").join(heads, "prompt_id", "left")
+    rows = votes.join(asked, "prompt_id").where(~bad & F.col("criterion_index").between(1, F.col("n_criteria")))
+    own = F.transform(F.filter("_heads", lambda x: x["model"] == F.col("model")), lambda x: x["head"])
+    return rows.withColumn("response_excerpt", F.explode_outer(own)).drop("_heads")
 
 
 def human_filled(rows: DataFrame, human: str = "human") -> DataFrame:

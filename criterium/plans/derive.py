@@ -40,12 +40,13 @@ CROSS JOIN (VALUES ('0'), ('SA'), ('SB'), ('RA'), ('RB')) AS a(arm)""",
 NAMES = re.compile(r"\{(\w+)\}")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table, or one of the driver's."""
+def table(spark: SparkSession, sf_dir: str, name: str, by: dict[str, str] | None = None) -> DataFrame:
+    """A derived table, or one of the driver's. ``by``: of the driver's tables, the column that their rows are dealt by, so that what groups and joins by it is dealt once."""
     if name not in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return rows.repartition(by[name]) if by and name in by else rows
     sql = TABLES[name]
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in set(NAMES.findall(sql))})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n, by) for n in set(NAMES.findall(sql))})
 
 
 def oracle(sql: str) -> str:
