@@ -178,7 +178,7 @@ class FolderService(BatchService):
         self.files, self.root = fs.FileSystem.from_uri(options["folder"])
         self.fs, self.polls, self.seen = fs, int(options.get("polls", 1)), Counter()
         module, _, name = options["answer"].partition(":")
-        self.answer = getattr(importlib.import_module(module), name)
+        self.answer, self.known = getattr(importlib.import_module(module), name), ("", [])
 
     def _put(self, name: str, text: str) -> None:
         self.files.create_dir(name.rpartition("/")[0], recursive=True)
@@ -207,8 +207,11 @@ class FolderService(BatchService):
         return sorted(b.path for b in found if self._has(f"{b.path}/started") and not self._has(f"{b.path}/closed"))
 
     def _answers(self, batch: str) -> list[tuple]:
-        with self.files.open_input_stream(f"{batch}/requests") as f:
-            return [(r["custom_id"], r["attempt"], *self.answer(r["custom_id"], r["attempt"])) for r in json.loads(f.read())]
+        """Those of the batch asked for last are kept: every poll and the results need them."""
+        if self.known[0] != batch:
+            with self.files.open_input_stream(f"{batch}/requests") as f:
+                self.known = batch, [(r["custom_id"], r["attempt"], *self.answer(r["custom_id"], r["attempt"])) for r in json.loads(f.read())]
+        return self.known[1]
 
     def poll(self, batch: str) -> tuple[str, tuple[int, ...]]:
         self.seen[batch] += 1

@@ -109,3 +109,15 @@ def test_guard():
 
 def test_no_work(spark, options):
     assert rows(batches.run_rounds(work(spark, 0), options["folder"] + "/kept", options, judged)) == {}
+
+
+def test_a_batch_is_answered_once(tmp_path, monkeypatch):
+    """However often it is polled before its results are read."""
+    service = batches.FolderService({"folder": f"file://{tmp_path}", "answer": "tests.test_batches:answer", "polls": "3"})
+    asked = []
+    monkeypatch.setattr(service, "answer", lambda c, attempt: asked.append(c) or ("succeeded", c, "end_turn"))
+    for part in ("ab", "cd"):
+        batch = service.create("r", [{"custom_id": c, "attempt": 1, "body": ""} for c in part])
+        service.start(batch)
+        assert [r[1] for r in batches.collected(service, batch, 0, None)] == list(part)
+    assert asked == list("abcd")
