@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,22 @@ def test_no_store_stays_open_after_its_task(spark):
     assert memory.getNumRocksDBInstances(True) <= before
 
 
+def test_a_batch_opens_the_stores_once(spark, monkeypatch):
+    """Every store that is opened leaves native memory behind; a start for what the last batch leaves open took two rounds of stores more."""
+    commits, remove = [], expiring.remove
+
+    def seen(spark, path):
+        if path.endswith("/checkpoint"):
+            commits.extend(p.name for p in Path(path.removeprefix("file://"), "commits").iterdir() if p.name.isdigit())
+        remove(spark, path)
+
+    monkeypatch.setattr(expiring, "remove", seen)
+    batches = [[(k, 200 * b, "%064x" % 1) for k in range(b, 20)] for b in (0, 1)] + [[], [(3, 500, "%064x" % 2)], []]
+    df = spark.createDataFrame([(b, *r) for b, each in enumerate(batches) for r in each], "batch int, key long, hour long, digest string")
+    assert rows_of(expiring.replay(df, F.unhex("digest"), 5).withColumnRenamed("key", "click_id")) == plain(batches)
+    assert sorted(map(int, commits)) == [0, 1, 2, 3]  # batches with records, and the last
+
+
 SCHEMA = "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string, hour string, bucket int"
 
 
