@@ -110,17 +110,21 @@ def _open(tree: RoomTree, runs: dict, room: int, first: int, bins: int) -> None:
         tree.add(room, bins)
 
 
-def pieces(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """doc_id, text -> one row per piece, without its ids: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, group: int = 0, kept: int = 64 << 20) -> DataFrame:
+    """doc_id, text -> one row per piece, without its ids: doc_id, piece, start, length, ids_crc32.
+
+    Texts are encoded together up to ``group`` characters, each alone if that is 0; a worker keeps up to ``kept`` bytes
+    of chunks twice. More of either takes memory for CPU, and no id depends on them.
+    """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from criterium.llm.tokens import encoder
 
-        coder, last = encoder(tokenizer), end_id.to_bytes(4, "little")
+        coder, last = encoder(tokenizer, kept), end_id.to_bytes(4, "little")
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.encode(text.as_py()) + last
+            rows, texts = [], (text.as_py() for text in batch.column(1))
+            for doc_id, found in zip(batch.column(0).to_pylist(), coder.encode_all(texts, group) if group else map(coder.encode, texts)):
+                ids = found + last
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
             if rows:
@@ -129,9 +133,9 @@ def pieces(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = Non
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(cut_up), ddl(PIECE))
 
 
-def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, group: int = 0, kept: int = 64 << 20) -> DataFrame:
     """doc_id, text -> pieces with sequence_id and offset. Only a histogram of lengths reaches the driver."""
-    cuts = ranked(settled(pieces(docs, capacity=capacity, tokenizer=tokenizer, end_id=end_id)), ["length"], ["doc_id", "piece", "ids_crc32"])
+    cuts = ranked(settled(pieces(docs, capacity=capacity, tokenizer=tokenizer, end_id=end_id, group=group, kept=kept)), ["length"], ["doc_id", "piece", "ids_crc32"])
     counts = {r["length"]: r["count"] for r in cuts.groupBy("length").count().collect()}
     segments, _ = plan(counts, capacity)
     by_length: dict[int, tuple[list, list]] = {}

@@ -134,11 +134,11 @@ class ChunkEncoder:
         self._renew()
         return ids
 
-    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """:meth:`encode` of each text, in order; faster, and takes the memory of a group besides."""
+    def encode_all(self, texts: Iterable[str], most: int = GROUP) -> Iterator[bytes]:
+        """:meth:`encode` of each text, in order; faster, and takes the memory of a group of ``most`` characters besides."""
         group, held = [], 0
         for text in texts:
-            if group and held + len(text) > GROUP:
+            if group and held + len(text) > most:
                 yield from self._group(group)
                 group, held = [], 0
             group.append(text)

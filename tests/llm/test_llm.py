@@ -179,6 +179,13 @@ def test_pack(spark, odd, empty, documents):
     assert len({r["sequence_id"] for r in rows}) == want
 
 
+def test_pack_of_texts_encoded_together(spark, odd, empty, documents):
+    for group in (1, 2_000, tokens.GROUP):
+        assert sorted(map(str, packing.pack(odd, group=group, kept=10_000).collect())) == sorted(map(str, packing.pack(odd).collect()))
+    assert packing.pack(empty, group=1).count() == 0
+    assert sorted(packing.pack(documents, group=50_000).collect()) == sorted(packing.pack(documents).collect())
+
+
 # mixing
 
 
